@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from . import simhash
+from . import quality, simhash, toxicity
 
 QUERIES = {
     "op4_simhash": simhash.query,
+    "op6_quality": quality.query,
+    "op9_toxicity": toxicity.query,
 }
 
 ORACLE_SQL: dict[str, str] = {}
