@@ -4,7 +4,8 @@ A word is the mean of the embeddings of its character n-grams (3 to 5 characters
 hashed to a bucket, so a misspelling shares most of its vectors with the word it stands for. A window of 8 words is the mean
 of its words; the softmax reads that mean. Labels are of whole documents, so training goes in two steps: first every window
 has its document's label, then the windows of a toxic document that look cleanest are left out and the model is fitted on.
-A document's score is the calibrated logit of its most toxic window, whatever its length.
+A document's score is calibrated from the logits of its most toxic window and of the bags of its most toxic words, so it does
+not fade with the document's length.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from .training import remainder, sample
 
 BUCKETS, DIM, WINDOW = 1 << 16, 12, 8
 #: Bounds of the sample that the model is fitted on: labelled rows and bytes of text for each class.
-TRAIN_ROWS, TRAIN_BYTES = 2500, 10_000_000
+TRAIN_ROWS, TRAIN_BYTES = 2000, 8_000_000
 EPOCHS, RATE, DECAY = (2, 2, 2), 0.3, 2e-3
 #: An n-gram counts if this many documents of the sample have it.
 LEAST_DOCS = 4
@@ -43,36 +44,38 @@ def _windows(n: int) -> list[tuple[int, int]]:
 
 
 class Model:
-    """``gain``: per bucket the difference of the two logits; ``scale`` and ``shift`` calibrate the largest window mean."""
+    """``gain``: per bucket the difference of the two logits; ``scale`` and ``shift`` calibrate what ``peaks`` returns."""
 
-    def __init__(self, gain: np.ndarray, bias: float = 0.0, scale: float = 1.0, shift: float = 0.0):
-        self.gain, self.bias, self.scale, self.shift = gain, bias, scale, shift
+    def __init__(self, gain: np.ndarray, bias: float = 0.0, scale=(0.0, 0.0, 0.0), shift: float = 0.0):
+        self.gain, self.bias, self.scale, self.shift = gain, bias, np.asarray(scale, float), shift
 
-    def worst(self, batch: list[bytes | None], cache: dict[bytes, float]) -> np.ndarray:
-        """Logit of the most toxic window of each text; minus infinity without words."""
+    def peaks(self, batch: list[bytes | None], cache: dict[bytes, float]) -> np.ndarray:
+        """Per text the logit of its most toxic window, and of the bags of its 3 and 8 most toxic words; NaN without words."""
         if len(cache) > _CACHE:
             cache.clear()
-        out = np.full(len(batch), -np.inf)
+        out = np.full((len(batch), 3), np.nan)
         gain = self.gain
         for i, text in enumerate(batch):
             words = text.split() if text else []
             if not words:
                 continue
-            new = {w for w in words if w not in cache}
-            for w in new:
-                cache[w] = float(gain[grams(w.decode("utf-8", "replace"))].mean())
+            for w in set(words):
+                if w not in cache:
+                    cache[w] = float(gain[grams(w.decode("utf-8", "replace"))].mean())
             v = np.fromiter(map(cache.__getitem__, words), float, len(words))
             if v.size > WINDOW:
                 c = np.concatenate([[0.0], np.cumsum(v)])
-                out[i] = (c[WINDOW:] - c[:-WINDOW]).max() / WINDOW
+                window = (c[WINDOW:] - c[:-WINDOW]).max() / WINDOW
+                top = np.sort(np.partition(v, -WINDOW)[-WINDOW:])
             else:
-                out[i] = v.mean()
+                window, top = v.mean(), np.concatenate([np.zeros(WINDOW - v.size), np.sort(v)])
+            out[i] = window, top[-3:].mean(), top.mean()
         return out + self.bias
 
-    def score(self, worst: np.ndarray) -> np.ndarray:
+    def score(self, peaks: np.ndarray) -> np.ndarray:
         """Probability of label 1; 0 without words."""
-        x = np.where(np.isfinite(worst), worst, 0.0) * self.scale + self.shift
-        return np.where(np.isfinite(worst), 0.5 * (1 + np.tanh(0.5 * x)), 0.0)
+        x = np.nan_to_num(peaks) @ self.scale + self.shift
+        return np.where(np.isnan(peaks[:, 0]), 0.0, 0.5 * (1 + np.tanh(0.5 * x)))
 
 
 class _Trainer:
@@ -159,7 +162,7 @@ def fit(rows: list[tuple[int, bytes]], seed: int = 7) -> Model:
     y = np.array([r[0] for r in rows], np.int64)
     if len(set(y.tolist())) < 2:
         share = (y.sum() + 1) / (len(y) + 2)
-        return Model(np.zeros(BUCKETS), 0.0, 1.0, float(np.log(share / (1 - share))))
+        return Model(np.zeros(BUCKETS), shift=float(np.log(share / (1 - share))))
     t = _Trainer(rows, seed)
     every = np.arange(t.y.size)
     for step, epochs in enumerate(EPOCHS):
@@ -175,27 +178,26 @@ def fit(rows: list[tuple[int, bytes]], seed: int = 7) -> Model:
             t.epoch(t.rng.permutation(use))
     gain, bias = t.gain()
     model = Model(gain.astype(np.float32).astype(float), bias)
-    worst = model.worst([r[1] for r in rows], {})
-    model.scale, model.shift = _calibrate(worst, y)
+    model.scale, model.shift = _calibrate(model.peaks([r[1] for r in rows], {}), y)
     return model
 
 
-def _calibrate(m: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Logistic regression of the label on the largest window logit, slightly shrunk, by Newton steps."""
-    ok = np.isfinite(m)
+def _calibrate(m: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, float]:
+    """Logistic regression of the label on the peaks, slightly shrunk, by Newton steps."""
+    ok = ~np.isnan(m[:, 0])
     m, y = m[ok], y[ok]
-    mean, sd = m.mean(), m.std() + 1e-9
-    x = np.stack([(m - mean) / sd, np.ones(m.size)], 1)
-    w = np.zeros(2)
-    for _ in range(60):
+    mean, sd = m.mean(0), m.std(0) + 1e-9
+    x = np.column_stack([(m - mean) / sd, np.ones(len(m))])
+    shrink = np.append(np.full(m.shape[1], 0.3), 1e-6)
+    w = np.zeros(x.shape[1])
+    for _ in range(100):
         p = 0.5 * (1 + np.tanh(0.5 * (x @ w)))
-        g = x.T @ (p - y) + np.array([1e-1, 1e-6]) * w
-        h = x.T @ (x * np.maximum(p * (1 - p), 1e-9)[:, None]) + np.diag([1e-1, 1e-6])
-        step = np.linalg.solve(h, g)
+        h = x.T @ (x * np.maximum(p * (1 - p), 1e-9)[:, None]) + np.diag(shrink)
+        step = np.linalg.solve(h, x.T @ (p - y) + shrink * w)
         w -= np.clip(step, -2, 2)
         if np.abs(step).max() < 1e-8:
             break
-    return float(w[0] / sd), float(w[1] - w[0] * mean / sd)
+    return w[:-1] / sd, float(w[-1] - (w[:-1] * mean / sd).sum())
 
 
 def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, most_bytes: int = TRAIN_BYTES) -> Model:
@@ -214,8 +216,8 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
         m, cache = shared.value, {}
         for b in batches:
             t = texts(b.column(1))
-            worst = np.concatenate([m.worst(t[s:e], cache) for s, e in slices([len(x or b"") for x in t])] or [np.zeros(0)])
-            yield pa.record_batch([b.column(0), pa.array(m.score(worst))], ["doc_id", "score"])
+            peaks = np.concatenate([m.peaks(t[s:e], cache) for s, e in slices([len(x or b"") for x in t])] or [np.zeros((0, 3))])
+            yield pa.record_batch([b.column(0), pa.array(m.score(peaks))], ["doc_id", "score"])
 
     kind = dict(docs.dtypes)["doc_id"]
     return docs.select("doc_id", F.col("text").cast("string")).mapInArrow(run, f"doc_id {kind}, score double")
