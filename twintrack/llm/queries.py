@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import quality, simhash, toxicity
+from . import langid, quality, simhash, toxicity
 
 QUERIES = {
     "op4_simhash": simhash.query,
     "op6_quality": quality.query,
+    "op7_langid": langid.query,
     "op9_toxicity": toxicity.query,
 }
 
