@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from . import langid, quality, simhash, toxicity
+from . import decontaminate, langid, quality, simhash, toxicity
 
 QUERIES = {
     "op4_simhash": simhash.query,
+    "op5_decontaminate": decontaminate.query,
     "op6_quality": quality.query,
     "op7_langid": langid.query,
     "op9_toxicity": toxicity.query,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op5_decontaminate": decontaminate.ORACLE,
+}
