@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from . import decontaminate, langid, quality, simhash, toxicity
+from . import decontaminate, embedding, langid, quality, simhash, toxicity
 
 QUERIES = {
     "op4_simhash": simhash.query,
     "op5_decontaminate": decontaminate.query,
     "op6_quality": quality.query,
     "op7_langid": langid.query,
+    "op8_embedding": embedding.query,
     "op9_toxicity": toxicity.query,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op5_decontaminate": decontaminate.ORACLE,
+    "op8_embedding": embedding.ORACLE,
 }
