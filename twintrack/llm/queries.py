@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import decontaminate, embedding, langid, quality, simhash, toxicity
+from . import decontaminate, embedding, langid, linededup, quality, simhash, toxicity
 
 QUERIES = {
+    "op2_linededup": linededup.query,
     "op4_simhash": simhash.query,
     "op5_decontaminate": decontaminate.query,
     "op6_quality": quality.query,
@@ -14,6 +15,7 @@ QUERIES = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op2_linededup": linededup.ORACLE,
     "op5_decontaminate": decontaminate.ORACLE,
     "op8_embedding": embedding.ORACLE,
 }
