@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import decontaminate, embedding, langid, linededup, quality, simhash, toxicity
+from . import decontaminate, embedding, langid, linededup, quality, secrets, simhash, toxicity
 
 QUERIES = {
     "op2_linededup": linededup.query,
+    "op3_secrets": secrets.query,
     "op4_simhash": simhash.query,
     "op5_decontaminate": decontaminate.query,
     "op6_quality": quality.query,
