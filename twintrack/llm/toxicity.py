@@ -10,7 +10,6 @@ not fade with the document's length.
 
 from __future__ import annotations
 
-import re
 import zlib
 
 import numpy as np
@@ -21,21 +20,41 @@ from pyspark.sql import functions as F
 from .common import read, slices, small_batches, texts
 from .training import remainder, sample
 
-BUCKETS, DIM, WINDOW = 1 << 16, 12, 8
+BITS, DIM, WINDOW = 16, 12, 8
+BUCKETS = 1 << BITS
 #: Bounds of the sample that the model is fitted on: labelled rows and bytes of text for each class.
 TRAIN_ROWS, TRAIN_BYTES = 2000, 8_000_000
 EPOCHS, RATE, DECAY = (2, 2, 2), 0.3, 2e-3
 #: An n-gram counts if this many documents of the sample have it.
 LEAST_DOCS = 4
-_CACHE = 200_000
-_EDGE = re.compile(r"^[^\w]+|[^\w]+$")
-
-
-def grams(word: str) -> np.ndarray:
-    """Buckets of the word's character n-grams, of the word itself first."""
-    w = f"<{_EDGE.sub('', word.lower())}>"
-    parts = [w] + [w[i : i + n] for n in (3, 4, 5) for i in range(len(w) - n + 1)]
-    return np.array([zlib.crc32(p.encode()) % BUCKETS for p in parts], np.int64)
+_CACHE, _PART = 400_000, 20_000
+_PUNCTUATION = "".join(c for c in map(chr, range(33, 127)) if not c.isalnum()) + "\u00a1\u00bf\u00ab\u00bb\u2018\u2019\u201c\u201d\u2026"
+
+
+def grams(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets of the words' character n-grams (each word's own bucket among them), and how many each word has.
+
+    A word is lower-cased, stripped of punctuation at its ends and put between end marks.
+    """
+    marked = [f"<{w.decode('utf-8', 'replace').lower().strip(_PUNCTUATION)}>" for w in words]
+    c = np.frombuffer("".join(marked).encode("utf-32-le"), np.uint32).astype(np.uint64)
+    size = np.fromiter(map(len, marked), np.int64, len(marked))
+    end = np.cumsum(size)
+    word = np.repeat(np.arange(size.size), size)
+    left = end[word] - np.arange(c.size)  # characters of the word from here on
+    owners = [np.arange(size.size)]
+    hashes = [np.fromiter((zlib.crc32(w.encode()) for w in marked), np.uint64, size.size) * np.uint64(0x9E3779B97F4A7C15)]
+    h = np.zeros(c.size, np.uint64)
+    for n in range(1, 6):
+        h = h[: c.size - n + 1] * np.uint64(1_000_003) + c[n - 1 :] if c.size >= n else h[:0]
+        if n >= 3:
+            fits = left[: h.size] >= n
+            owners.append(word[: h.size][fits])
+            hashes.append((h[fits] ^ np.uint64(n << 56)) * np.uint64(0xC2B2AE3D27D4EB4F))
+    owner = np.concatenate(owners)
+    bucket = (np.concatenate(hashes) >> np.uint64(64 - BITS)).astype(np.int64)
+    order = np.argsort(owner, kind="stable")
+    return bucket[order], np.bincount(owner, minlength=size.size)
 
 
 def _windows(n: int) -> list[tuple[int, int]]:
@@ -55,13 +74,15 @@ class Model:
             cache.clear()
         out = np.full((len(batch), 3), np.nan)
         gain = self.gain
-        for i, text in enumerate(batch):
-            words = text.split() if text else []
+        split = [t.split() if t else [] for t in batch]
+        new = list(set().union(*split) - cache.keys())
+        for s in range(0, len(new), _PART):
+            part = new[s : s + _PART]
+            bucket, n = grams(part)
+            cache.update(zip(part, (np.add.reduceat(gain[bucket], np.cumsum(n) - n) / n).tolist()))
+        for i, words in enumerate(split):
             if not words:
                 continue
-            for w in set(words):
-                if w not in cache:
-                    cache[w] = float(gain[grams(w.decode("utf-8", "replace"))].mean())
             v = np.fromiter(map(cache.__getitem__, words), float, len(words))
             if v.size > WINDOW:
                 c = np.concatenate([[0.0], np.cumsum(v)])
@@ -95,14 +116,17 @@ class _Trainer:
             at += len(words)
         self.words = np.concatenate(flat) if flat else np.zeros(0, np.int32)
         self.spans, self.y, self.doc = np.array(spans, np.int64).reshape(-1, 2), np.array(y), np.array(doc)
-        parts = [grams(w.decode("utf-8", "replace")) for w in index]
-        self.at = np.concatenate([[0], np.cumsum([p.size for p in parts])]).astype(np.int64)
-        self.parts = np.concatenate(parts) if parts else np.zeros(0, np.int64)
+        vocab = list(index)
+        made = [grams(vocab[s : s + _PART]) for s in range(0, len(vocab), _PART)]
+        self.parts = np.concatenate([m[0] for m in made]) if made else np.zeros(0, np.int64)
+        sizes = np.concatenate([m[1] for m in made]) if made else np.zeros(0, np.int64)
+        self.at = np.concatenate([[0], np.cumsum(sizes)])
         docs = np.zeros(BUCKETS, np.int64)
         for words in flat:
+            w = np.unique(words)
+            m = self.at[w + 1] - self.at[w]
             seen = np.zeros(BUCKETS, bool)
-            for w in np.unique(words):
-                seen[self.parts[self.at[w] : self.at[w + 1]]] = True
+            seen[self.parts[np.repeat(self.at[w] - np.cumsum(m) + m, m) + np.arange(m.sum())]] = True
             docs += seen
         self.common = docs >= LEAST_DOCS
         self.emb = self.rng.normal(0, 0.1, (BUCKETS, DIM))
