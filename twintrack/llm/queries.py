@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import decontaminate, embedding, langid, linededup, quality, secrets, simhash, toxicity
+from . import decontaminate, embedding, langid, linededup, piececoding, quality, secrets, simhash, tokencount, toxicity
 
 QUERIES = {
+    "op1_tokencount": tokencount.query,
     "op2_linededup": linededup.query,
     "op3_secrets": secrets.query,
     "op4_simhash": simhash.query,
@@ -13,6 +14,7 @@ QUERIES = {
     "op7_langid": langid.query,
     "op8_embedding": embedding.query,
     "op9_toxicity": toxicity.query,
+    "op10_piececoding": piececoding.query,
 }
 
 ORACLE_SQL: dict[str, str] = {
