@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql import Window
 
 
@@ -110,5 +109,3 @@ def smoothed(x: Column, span: int, w, whole) -> Column:
     flags = F.coalesce(F.bool_and(x.isin(0.0, 1.0)).over(whole), F.lit(True))
     return F.when(flags, x).otherwise(moving_mean(x, span, w))
 
-
-POSE = T.StructType.fromDDL("session_id string, session_idx int, frame int, time_s double, animal int, node int, x double, y double, score double, excluded boolean")

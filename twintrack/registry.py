@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
-FLAGSHIP = "win_numeric"
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+from .oracles import ORACLE_SQL
+from .queries import QUERIES
+
+FLAGSHIP = "contact_windows"
+
+__all__ = ["FLAGSHIP", "ORACLE_SQL", "QUERIES"]
