@@ -153,20 +153,16 @@ def _assign(rows: DataFrame) -> DataFrame:
     def run(batches):
         for b in batches:
             v, piv = b.column(b.schema.get_field_index("embedding")), b.column(b.schema.get_field_index("pivots"))
-            x = v.to_pylist()
-            p = piv.to_pylist()
-            k, d = np.zeros(len(x), np.int64), np.zeros(len(x))
-            cache: dict[int, np.ndarray] = {}
-            names = b.column(b.schema.get_field_index("cell")).to_pylist()
-            for i in range(len(x)):
-                m = cache.get(names[i])
-                if m is None:
-                    m = np.array([q["v"] for q in p[i]], float)
-                    m = cache[names[i]] = m / np.linalg.norm(m, axis=1, keepdims=True)
-                u = np.array(x[i], float)
-                far = np.sqrt(np.maximum(0.0, 2 - 2 * (m @ (u / np.linalg.norm(u)))))
-                k[i] = far.argmin()
-                d[i] = far[k[i]]
+            names = b.column(b.schema.get_field_index("cell")).to_numpy()
+            k, d = np.zeros(len(v), np.int64), np.zeros(len(v))
+            for cell in np.unique(names).tolist():  # one length of vectors in a cell
+                at = np.flatnonzero(names == cell)
+                m = np.array([q["v"] for q in piv[int(at[0])].as_py()], float)
+                m /= np.linalg.norm(m, axis=1, keepdims=True)
+                u = _matrix(v.take(pa.array(at)))
+                far = np.sqrt(np.maximum(0.0, 2 - 2 * ((u / np.linalg.norm(u, axis=1, keepdims=True)) @ m.T)))
+                k[at] = far.argmin(1)
+                d[at] = far[np.arange(at.size), k[at]]
             keep = [n for n in b.schema.names if n != "pivots"]
             yield pa.record_batch([*[b.column(b.schema.get_field_index(n)) for n in keep], pa.array(k), pa.array(d)], [*keep, "k", "d"])
 
