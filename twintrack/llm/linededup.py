@@ -20,7 +20,7 @@ from .common import read, settle
 
 THRESHOLD = 0.8
 #: Hash buckets whose occurrences give the rarity of words.
-BUCKETS = 1 << 15
+BUCKETS = 1 << 18
 #: Most rows of a table that is sent to all executors; a larger one is joined by a shuffle.
 BROADCAST_ROWS = 1_000_000
 _SPACE = "[ \\\\t\\\\x0B\\\\f\\\\r]+"
@@ -36,7 +36,7 @@ def lines_of(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("no", "line"))
 
 
-def words(line: str = "line") -> str:
+def words(line: str) -> str:
     """SQL of a line's distinct words."""
     return f"array_remove(array_distinct(split({line}, '{_SPACE}')), '')"
 
@@ -54,7 +54,9 @@ def rarity(docs: DataFrame) -> str:
 def signatures(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """A row for each line with words: doc_id, no, line hashes h1 and h2, words n, id bits s1 and s2, prefix words."""
     level = rarity(docs)
-    h = lines_of(docs).withColumn("w", F.expr(f"transform({words()}, t -> xxhash64(t))")).where("size(w) > 0")
+    lines = lines_of(docs).where(F.col("line").rlike(r"[^ \t\x0B\f\r]"))
+    # the empty string before a leading space is no word
+    h = lines.withColumn("w", F.expr(f"array_remove(array_distinct(transform(split(line, '{_SPACE}'), t -> xxhash64(t))), xxhash64(''))"))
     h = h.select("doc_id", "no", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(7), "line").alias("h2"), F.size("w").alias("n"), "w")
     bit = "shiftright(v, 16) & 127"  # 96 parity bits: places 0 to 63 in s1, the others in the lower half of s2
     s1 = f"aggregate(w, 0L, (a, v) -> if(({bit}) < 64, a ^ shiftleft(1L, cast({bit} as int)), a))"
@@ -66,21 +68,27 @@ def signatures(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 
 
 def _near(threshold: float) -> str:
-    """SQL of the filters on two prefix rows x and y with the same word."""
-    least = f"ceil((x.n + y.n) * {threshold / (1 + threshold)!r}D - 1e-9)"
+    """SQL of the filters on two prefix rows x and y with the same word, the cheapest and most selective first."""
+    least = f"(x.n + y.n) * {threshold / (1 + threshold)!r}D - 1e-9"
+    ratio = repr((1 + threshold) / (1 - threshold)) if threshold < 1 else "1e18"
+    differ = "bit_count(x.s1 ^ y.s1)"
     return (
-        f"(x.s1 <> y.s1 or x.s2 <> y.s2 or x.n <> y.n) and x.n >= y.n * {threshold}D - 1e-9 and y.n >= x.n * {threshold}D - 1e-9"
-        f" and least(x.n - x.pos, y.n - y.pos) >= {least}"
-        f" and bit_count(x.s1 ^ y.s1) + bit_count((x.s2 ^ y.s2) & 4294967295L) <= x.n + y.n - 2 * {least}"
+        f"{differ} * {ratio}D <= x.n + y.n + 1e-6"
+        f" and ({differ} + bit_count((x.s2 ^ y.s2) & 4294967295L)) * {ratio}D <= x.n + y.n + 1e-6"
+        " and (x.s1 <> y.s1 or x.s2 <> y.s2 or x.n <> y.n)"
+        f" and x.n >= y.n * {threshold}D - 1e-9 and y.n >= x.n * {threshold}D - 1e-9 and least(x.n - x.pos, y.n - y.pos) >= {least}"
     )
 
 
-def _verified(pairs: DataFrame, tokens: DataFrame, threshold: float) -> DataFrame:
-    """The first lines (ids) of distinct pairs (xs1, xs2, xn, ys1, ys2, yn) whose word sets are similar."""
-    side = lambda p: tokens.select(*[F.col(c).alias(p + c) for c in _ID], F.col("words").alias(f"{p}w"))
-    both = pairs.join(side("x"), ["x" + c for c in _ID]).join(side("y"), ["y" + c for c in _ID])
-    both = both.withColumn("common", F.size(F.array_intersect("xw", "yw")))
-    ok = both.where((F.col("common") * (1 + threshold) + 1e-9 >= (F.size("xw") + F.size("yw")) * threshold))
+def _verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
+    """The first lines (ids) of distinct pairs (xs1, xs2, xn, ys1, ys2, yn), a table, whose word sets are similar."""
+    side = lambda p: texts.select(*[F.col(c).alias(p + c) for c in _ID], F.col("line").alias(f"{p}line"))
+    xs, ys = ["x" + c for c in _ID], ["y" + c for c in _ID]
+    # the lines that are asked for, before they move
+    left = side("x").join(_sent(pairs), xs)
+    right = side("y").join(_sent(settle(pairs.select(*ys).distinct())), ys)
+    common = F.size(F.array_intersect(F.expr(words("xline")), F.expr(words("yline"))))
+    ok = left.join(right, ys).where(common * (1 + threshold) + 1e-9 >= (F.col("xn") + F.col("yn")) * threshold)
     return ok.select(*[F.col("x" + c).alias(c) for c in _ID]).distinct()
 
 
@@ -103,7 +111,10 @@ def removed(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     copies = _sent(settle(copies))
     copied = table.select("doc_id", "no", "h1", "h2").join(copies, ["h1", "h2"]).where(at > F.col("first")).select("doc_id", "no", "h1")
 
-    rows = table.select(*_ID, F.posexplode("prefix").alias("pos", "tok"))
+    # copies of a line aside, few rows have a prefix word in common, and a row's search ends at its first candidate
+    table = table.join(copies, ["h1", "h2"], "left").where(F.col("first").isNull() | (at <= F.col("first")))
+    # columns in the table's order, so that both sides of the join read one exchange
+    rows = table.select("n", "s1", "s2", F.posexplode("prefix").alias("pos", "tok"))
     met = rows.alias("x").join(rows.alias("y"), (F.col("x.tok") == F.col("y.tok")) & F.expr(_near(threshold)), "left_semi")
     met = settle(met.select("x.*").distinct())
     ids = _sent(settle(met.select(*_ID).distinct()))
@@ -112,8 +123,8 @@ def removed(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     wanted = _sent(settle(wanted))  # lines of one document together, as in its text
     texts = docs.join(wanted, F.col("doc_id").eqNullSafe(F.col("_id")))
     texts = texts.select("doc_id", "nos", F.posexplode(F.split("text", "\n")).alias("no", "line")).where("array_contains(nos, no)")
-    texts = texts.select(F.struct("doc_id", "no", F.xxhash64("line").alias("h1")).alias("at"), F.expr(words()).alias("words"))
-    tokens = settle(first.join(texts, "at").dropDuplicates(_ID))
+    texts = texts.select(F.struct("doc_id", "no", F.xxhash64("line").alias("h1")).alias("at"), "line")
+    texts = settle(first.join(texts, "at").dropDuplicates(_ID))
     met = settle(met.join(first, _ID))
 
     gone = None
@@ -125,7 +136,7 @@ def removed(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
             found = _pairs(left, lead, threshold)
         else:
             found = _pairs(left, met, threshold)
-        found = _verified(settle(found), tokens, threshold)
+        found = _verified(settle(found), texts, threshold)
         gone = settle(found if gone is None else gone.unionByName(found).distinct())
     similar = first.join(gone, _ID).select("at.*")
     return settle(copied.unionByName(similar).distinct())
@@ -133,10 +144,10 @@ def removed(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 
 def dedup(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """``docs``, all columns, without the lines that ``removed`` lists. Row count and order of lines stay; null text stays null."""
-    name = "_removed_lines"
+    name = "__tt_lines"
     keys = F.collect_set(F.xxhash64("no", "h1")).alias(name)
-    gone = _sent(settle(removed(docs, threshold).groupBy(F.col("doc_id").alias("_removed_id")).agg(keys)))
-    both = docs.join(gone, F.col("doc_id").eqNullSafe(F.col("_removed_id")), "left")
+    gone = _sent(settle(removed(docs, threshold).groupBy(F.col("doc_id").alias("__tt_id")).agg(keys)))
+    both = docs.join(gone, F.col("doc_id").eqNullSafe(F.col("__tt_id")), "left")
     kept = F.expr(f"array_join(filter(split(text, '\n'), (l, i) -> not array_contains({name}, xxhash64(i, xxhash64(l)))), '\n')")
     text = F.when(F.col(name).isNull(), F.col("text")).otherwise(kept).alias("text")
     return both.select(*[text if c == "text" else docs[c] for c in docs.columns])
