@@ -25,6 +25,8 @@ from .common import read, slices, small_batches, texts
 SPAN, K = 10, 5
 #: Most bytes of benchmark text in a block.
 BLOCK_BYTES = 8_000_000
+#: Columns that ``scan`` adds; a name that tables don't use.
+HITS = ("__tt_n_words", "__tt_spans", "__tt_items")
 _WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 _BIG = np.uint64(0xFFFFFFFFFFFFFFFF)
 
@@ -162,7 +164,7 @@ def index_block(benchmark: DataFrame, block: int, span: int, k: int) -> Index:
 
 
 def scan(docs: DataFrame, benchmark: DataFrame, span: int = SPAN, k: int = K, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """The rows of ``docs`` with columns ``n_words``, ``spans`` (hit words as flattened [start, end) pairs) and ``items`` added.
+    """The rows of ``docs`` with the columns HITS added: number of words, hit words as flattened [start, end) pairs, items.
 
     ``benchmark(item_id, text)``: an item with words but fewer than ``span`` is one window. Items without words or text hit
     nothing; an item with a null id hits words but is not listed. Null and wordless documents have no words. An empty
@@ -170,10 +172,10 @@ def scan(docs: DataFrame, benchmark: DataFrame, span: int = SPAN, k: int = K, bl
     """
     spark = docs.sparkSession
     small_batches(spark)
-    docs = docs.drop("n_words", "spans", "items", "_block")
+    docs = docs.drop(*HITS)
     dealt, count = blocks(benchmark, block_bytes)
     at = docs.columns.index("text")
-    schema = f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in docs.schema)}, n_words long, spans array<long>, items array<string>"
+    schema = f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in docs.schema)}, {HITS[0]} long, {HITS[1]} array<long>, {HITS[2]} array<string>"
     result = None
     for block in range(count):
         shared = spark.sparkContext.broadcast(index_block(dealt, block, span, k))  # block_bytes of text at most
@@ -184,7 +186,7 @@ def scan(docs: DataFrame, benchmark: DataFrame, span: int = SPAN, k: int = K, bl
                 t = texts(b.column(at))
                 got = [x for s, e in slices([len(x or b"") for x in t]) for x in reader.batch(t[s:e])]
                 more = [pa.array([x[0] for x in got], pa.int64()), pa.array([x[1] for x in got], pa.list_(pa.int64())), pa.array([[i for i in x[2] if i is not None] for x in got], pa.list_(pa.string()))]
-                yield pa.record_batch([*b.columns, *more], [*b.schema.names, "n_words", "spans", "items"])
+                yield pa.record_batch([*b.columns, *more], [*b.schema.names, *HITS])
 
         part = docs.mapInArrow(run, schema)
         result = part if result is None else _merge(result, part, docs)
@@ -194,14 +196,13 @@ def scan(docs: DataFrame, benchmark: DataFrame, span: int = SPAN, k: int = K, bl
 def _merge(a: DataFrame, b: DataFrame, docs: DataFrame) -> DataFrame:
     """Both blocks' hits of each document row; equal rows of ``docs`` have equal hits, so they may meet as a group and be spread again."""
     keep = docs.columns
-    hits = ["n_words", "spans", "items"]
     key = F.xxhash64(*[F.col(f"`{c}`").cast("string") for c in keep if c != "text"], F.md5("text"), F.xxhash64("text"))
-    left = a.withColumn("_block", key)
-    right = b.select(key.alias("_block"), *[F.col(h).alias(f"_{h}") for h in hits]).where("size(_spans) > 0").dropDuplicates(["_block"])
-    both = left.join(right, "_block", "left")
-    spans = F.when(F.col("_spans").isNull(), F.col("spans")).otherwise(F.concat("spans", "_spans"))
-    items = F.when(F.col("_items").isNull(), F.col("items")).otherwise(F.array_union("items", "_items"))
-    return both.select(*[F.col(f"`{c}`") for c in keep], "n_words", spans.alias("spans"), items.alias("items"))
+    left = a.withColumn("__tt_key", key)
+    right = b.select(key.alias("__tt_key"), F.col(HITS[1]).alias("__tt_s"), F.col(HITS[2]).alias("__tt_i")).where("size(__tt_s) > 0").dropDuplicates(["__tt_key"])
+    both = left.join(right, "__tt_key", "left")
+    spans = F.when(F.col("__tt_s").isNull(), F.col(HITS[1])).otherwise(F.concat(HITS[1], "__tt_s"))
+    items = F.when(F.col("__tt_i").isNull(), F.col(HITS[2])).otherwise(F.array_union(HITS[2], "__tt_i"))
+    return both.select(*[F.col(f"`{c}`") for c in keep], HITS[0], spans.alias(HITS[1]), items.alias(HITS[2]))
 
 
 def _covered(spans):
@@ -215,8 +216,8 @@ def _covered(spans):
 def report(docs: DataFrame, benchmark: DataFrame, span: int = SPAN, k: int = K, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """(doc_id, n_words, n_hit, n_items, items_sha256, contaminated), one row per row of ``docs``; see ``scan``."""
     got = scan(docs.select("doc_id", F.col("text").cast("string")), benchmark, span, k, block_bytes)
-    items = F.array_sort("items")
-    got = got.select("doc_id", "n_words", _covered(F.col("spans")).alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join(items, ","), 256).alias("items_sha256"))
+    items = F.array_sort(HITS[2])
+    got = got.select("doc_id", F.col(HITS[0]).alias("n_words"), _covered(F.col(HITS[1])).alias("n_hit"), F.size(HITS[2]).cast("long").alias("n_items"), F.sha2(F.array_join(items, ","), 256).alias("items_sha256"))
     return got.withColumn("contaminated", F.col("n_hit") > 0)
 
 
@@ -226,7 +227,7 @@ def query(spark, sf_dir: str) -> DataFrame:
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a window of a benchmark item, with the columns of ``docs``."""
-    return scan(docs, read(spark, sf_dir, "benchmark")).where("size(spans) = 0").select(*[f"`{c}`" for c in docs.columns])
+    return scan(docs, read(spark, sf_dir, "benchmark")).where(F.size(HITS[1]) == 0).select(*[f"`{c}`" for c in docs.columns])
 
 
 ORACLE = r"""

@@ -190,5 +190,5 @@ def query(spark, sf_dir: str) -> DataFrame:
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep the document with the smallest doc_id of each near-duplicate group (all of its rows if the id repeats)."""
-    small = near_duplicates(docs).where("doc_id <=> component_id").select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(small, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
+    small = near_duplicates(docs).where("doc_id <=> component_id").select(F.col("doc_id").alias("__tt_id")).distinct()
+    return docs.join(small, F.col("doc_id").eqNullSafe(F.col("__tt_id")), "left_semi")

@@ -178,8 +178,8 @@ def trees(docs: DataFrame, vocabulary: tuple[str, str] | None = None) -> DataFra
 
 def attach(docs: DataFrame, edits: DataFrame) -> DataFrame:
     """``docs`` with the ``edits(doc_id, seq, start, stop, new)`` of each document as an array in order of seq."""
-    some = edits.groupBy(F.col("doc_id").alias("_id")).agg(F.sort_array(F.collect_list(F.struct("seq", "start", "stop", "new"))).alias("edits"))
-    return docs.drop("edits").join(some, F.col("doc_id").eqNullSafe(F.col("_id")), "left").drop("_id")
+    some = edits.groupBy(F.col("doc_id").alias("__tt_id")).agg(F.sort_array(F.collect_list(F.struct("seq", "start", "stop", "new"))).alias("edits"))
+    return docs.drop("edits").join(some, F.col("doc_id").eqNullSafe(F.col("__tt_id")), "left").drop("__tt_id")
 
 
 def recount(docs: DataFrame, vocabulary: tuple[str, str] | None = None) -> DataFrame:
