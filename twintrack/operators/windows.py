@@ -48,7 +48,7 @@ def _columns(feature: str, as_kind: str, w, frame, fps: float, stats: list[str],
             m = total(F.col(c)) / F.nullif(n, F.lit(0))
             var = (total(F.col(c) * F.col(c)) - n * m * m) / F.nullif(n - 1, F.lit(0))
             mean = F.avg(x).over(whole) + m
-            std = F.when(n == 1, F.lit(0.0)).otherwise(F.sqrt(F.greatest(var, F.lit(0.0))))
+            std = F.when(n == 1, F.lit(0.0)).when(n > 1, F.sqrt(F.greatest(var, F.lit(0.0))))
             # k is a run of whole numbers over the window's values: its mean and spread are known
             kc = F.when(have, (F.col(k) - F.max(k).over(whole) / 2).cast("double"))
             km = total(kc) / F.nullif(n, F.lit(0))
