@@ -525,6 +525,8 @@ def test_unigram_scan_is_the_best_path_and_products_associate():
 @pytest.mark.parametrize("chunk", [32_768, 500])
 def test_coding_edge_cases(edge, nothing, chunk):
     coded = piececoding.decode(piececoding.encode(edge, chunk=chunk))
+    at_once = piececoding.encode(edge, chunk=chunk, decoded="decoded")
+    assert at_once.columns == coded.columns and ids(at_once, "doc_id", "ids", "decoded") == ids(coded, "doc_id", "ids", "decoded")
     rows = coded.collect()
     assert len(rows) == len(ROWS) and coded.columns == [c for c in edge.columns if c != "ids"] + ["ids", "decoded"]
     for r in rows:

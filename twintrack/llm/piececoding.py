@@ -15,7 +15,10 @@ single chunk. Characters without a piece become byte pieces, or the unknown piec
 
 from __future__ import annotations
 
+import hashlib
+import itertools
 import re
+import struct
 
 import numpy as np
 import pyarrow as pa
@@ -26,9 +29,9 @@ from .common import settle, small_batches
 
 #: Characters of a chunk.
 CHUNK = 32_768
-_CACHE, _PAIRS = 400_000, 600_000
+_CACHE, _PAIRS = 450_000, 450_000
 MARK = "▁"
-_NONE = float("-inf")
+_NONE, _INF = float("-inf"), float("inf")
 UNIGRAM, BPE = 1, 2
 
 
@@ -39,6 +42,11 @@ def default_model() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
+def _newer_half(cache: dict) -> dict:
+    """What was remembered last."""
+    return dict(itertools.islice(cache.items(), len(cache) // 2, None))
+
+
 class Vocabulary:
     """Pieces of a model: ``ids`` and ``scores`` of ordinary ones, byte pieces, and the settings that encoding needs."""
 
@@ -53,6 +61,8 @@ class Vocabulary:
         self.unknown = next((i for i, p in enumerate(pieces) if p[2] == "unknown"), 0)
         self.longest = max(map(len, self.ids), default=1)
         self.prefixes = {p[:k] for p in self.ids for k in range(1, len(p) + 1)}
+        #: pieces by text, and -1 for what only begins pieces
+        self.known = {p: self.ids.get(p, -1) for p in self.prefixes}
         self.words = not any(MARK in p.lstrip(MARK) for p in self.ids)
         self.lowest = min((self.scores[i] for i in self.ids.values()), default=0.0) - 10.0
 
@@ -71,12 +81,13 @@ class Vocabulary:
 
 
 class Coder:
-    """Encoding and decoding with one vocabulary. A path's piece is its id, or minus a code point for a character without one."""
+    """Encoding and decoding with one vocabulary. A path's piece is its id, or the complement of a code point for a character without one."""
 
     def __init__(self, vocabulary: Vocabulary):
         self.v = vocabulary
         self.memo: dict[str, bytes] = {}
         self.pairs: dict[int, bool] = {}
+        self.spines: dict[int, tuple[list, list]] = {}
         self.pieces = np.array([self._spelled(i) for i in range(len(vocabulary.text))], object)
         self.special = np.array([t in ("byte", "unknown", "other") for t in vocabulary.types])
         self.split = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
@@ -100,7 +111,7 @@ class Coder:
             if t >= 0:
                 out.append(t)
             elif self.v.bytes:
-                out.extend(self.v.bytes[b] for b in chr(-t).encode("utf-8", "replace"))
+                out.extend(self.v.bytes[b] for b in chr(~t).encode("utf-8", "replace"))
             else:
                 out.append(self.v.unknown)
         return np.array(out, "<i4").tobytes()
@@ -137,11 +148,55 @@ class Coder:
         got = self.pairs.get(key)
         if got is None:
             if len(self.pairs) >= _PAIRS:
-                self.pairs.clear()
-            got = self.pairs[key] = self._merged(self.v.text[a], self.v.text[b])
+                self.pairs = _newer_half(self.pairs)
+            got = self.pairs[key] = self._apart(a, b)
         return got
 
+    def _edges_of(self, a: int) -> tuple[list, list]:
+        """How merging builds a piece: what stands at its right and at its left end, as (text, when it is there, until when).
+
+        Time falls from plus infinity; a merge happens at its score, or with its later part if that is lower.
+        """
+        got = self.spines.get(a)
+        if got is None:
+            text, ids, scores = self.v.text[a], self.v.ids, self.v.scores
+            parts = [(c, _INF) for c in text]
+            right, left = [[parts[-1][0], _INF, _NONE]], [[parts[0][0], _INF, _NONE]]
+            while len(parts) > 1:
+                at = max((k for k in range(len(parts) - 1) if parts[k][0] + parts[k + 1][0] in ids), key=lambda k: (scores[ids[parts[k][0] + parts[k + 1][0]]], -k), default=-1)
+                if at < 0:
+                    break
+                new = parts[at][0] + parts[at + 1][0]
+                when = min(scores[ids[new]], parts[at][1], parts[at + 1][1])
+                if at == len(parts) - 2:
+                    right[-1][2] = when
+                    right.append([new, when, _NONE])
+                if at == 0:
+                    left[-1][2] = when
+                    left.append([new, when, _NONE])
+                parts[at : at + 2] = [(new, when)]
+            got = self.spines[a] = (tuple(map(tuple, right)), tuple(map(tuple, left))) if len(parts) == 1 else ((), ())
+        return got
+
+    def _apart(self, a: int, b: int) -> bool:
+        right, left = self._edges_of(a)[0], self._edges_of(b)[1]
+        if not right or not left:
+            return self._merged(self.v.text[a], self.v.text[b])
+        known, scores, longest = self.v.known, self.v.scores, self.v.longest
+        for r, since, until in right:
+            for t, since2, until2 in left:
+                i = known.get(r + t, -1) if len(r) + len(t) <= longest else -1
+                if i < 0:
+                    continue
+                when, end = min(scores[i], since, since2), max(until, until2)
+                if when > end:
+                    return False  # a merge across the two comes first
+                if when == end:
+                    return self._merged(self.v.text[a], self.v.text[b])
+        return True
+
     def _merged(self, a: str, b: str) -> bool:
+        """The same by merging step by step."""
         ids, scores = self.v.ids, self.v.scores
         parts, cut = list(a + b), len(a)
         while len(parts) > 1:
@@ -167,7 +222,7 @@ class Coder:
         ids, prefixes = self.v.ids, self.v.prefixes
         one = text[q]
         i = ids.get(one)
-        yield 1, (-ord(one) if i is None else i)
+        yield 1, (~ord(one) if i is None else i)
         for n in range(2, min(self.v.longest, len(text) - q) + 1):
             sub = text[q : q + n]
             if sub not in prefixes:
@@ -215,18 +270,63 @@ class Coder:
         got = self.memo.get(text)
         if got is None:
             if len(self.memo) >= _CACHE:
-                self.memo.clear()
-            got = self.emit(self.trace(self.walk(text, 0, len(text), None), len(text)))
+                self.memo = _newer_half(self.memo)
+            if self.v.kind == BPE:
+                got = self._word_of_pairs(text)
+            else:
+                got = self.emit(self.trace(self.walk(text, 0, len(text), None), len(text)))
             if len(text) < 64:
                 self.memo[text] = got
         return got
 
+    def _word_of_pairs(self, text: str) -> bytes:
+        """The one path of a whole word of a byte-pair model, searched from the left with the longest pieces first."""
+        n, pairs, apart = len(text), self.pairs, self.apart
+        path: list[int] = []
+        open_ = [self._from(text, 0)]
+        prev, at, dead = -1, [0], set()
+        while True:
+            here = open_[-1]
+            if not here:
+                # no piece leads on from here after this one
+                open_.pop()
+                dead.add((at.pop(), path.pop()))
+                prev = path[-1] if path else -1
+                continue
+            end, i = here.pop(), here.pop()
+            if dead and (end, i) in dead:
+                continue
+            if prev >= 0 and i >= 0:
+                ok = pairs.get(prev << 24 | i)
+                if ok is False or ok is None and not apart(prev, i):
+                    continue
+            path.append(i)
+            if end == n:
+                break
+            open_.append(self._from(text, end))
+            at.append(end)
+            prev = i
+        return struct.pack(f"<{len(path)}i", *path) if min(path) >= 0 else self.emit(path)
+
+    def _from(self, text: str, q: int) -> list[int]:
+        """Piece and end, one after the other, of the pieces that start at q, the longest last."""
+        known, out = self.v.known, []
+        for end in range(q + 1, min(len(text), q + self.v.longest) + 1):
+            i = known.get(text[q:end])
+            if i is None:
+                break
+            if i >= 0:
+                out += i, end
+        if not out or out[1] > q + 1:
+            out[:0] = ~ord(text[q]), q + 1
+        return out
+
     def encode(self, text: str) -> bytes:
         """Ids of a whole text as one chunk."""
         t = self.marked(text)
         if not self.v.words:
             return self.emit(self.trace(self.walk(t, 0, len(t), None), len(t))) if t else b""
-        get, word = self.memo.get, self.word
+        get, word = self.memo.get, self.word  # if the memory is renewed meanwhile, word() looks in the new one
         return b"".join([get(w) or word(w) for w in self.split.findall(t)])
 
     # -- chunks
@@ -333,6 +433,18 @@ def boundaries(matrices: list[dict]) -> list[tuple[tuple[int, int], tuple[int, i
     return out[::-1]
 
 
+_CODERS: dict[bytes, Coder] = {}
+
+
+def coder_of(model: bytes) -> Coder:
+    """The coder of a model in this worker process; what it has remembered serves the next tasks too."""
+    key = hashlib.sha256(model).digest()
+    if key not in _CODERS:
+        _CODERS.clear()
+        _CODERS[key] = Coder(Vocabulary.load(model))
+    return _CODERS[key]
+
+
 def scan(coder: Coder, text: str, chunk: int) -> bytes:
     """Ids of a text by the chunked scan, in one process."""
     t = coder.marked(text)
@@ -360,13 +472,14 @@ def _lists(parts: list[bytes | None]) -> pa.Array:
     return pa.ListArray.from_arrays(offsets, flat, mask=pa.array([p is None for p in parts]))
 
 
-def encode(docs: DataFrame, model: str | None = None, chunk: int = CHUNK) -> DataFrame:
+def encode(docs: DataFrame, model: str | None = None, chunk: int = CHUNK, decoded: str | None = None) -> DataFrame:
     """``docs``, all columns, with ``ids``, the piece ids of ``text``. A null text has null ids, an empty text none.
 
     A text of more than ``chunk`` characters is cut into chunks that are dealt out as rows of their own. A literal U+2581 in a
-    text is the space mark to the model. A column of ``docs`` named ``ids`` is replaced. Rows keep their number.
+    text is the space mark to the model. A column of ``docs`` named ``ids`` is replaced. Rows keep their number. With ``decoded``
+    a column of that name has the text that the ids decode to, without another pass over the short texts.
     """
-    docs = docs.drop("ids")
+    docs = docs.drop("ids", *([decoded] if decoded else []))
     shared = _share(docs, model)
     names = [f"`{c}`" for c in docs.columns]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
@@ -374,18 +487,19 @@ def encode(docs: DataFrame, model: str | None = None, chunk: int = CHUNK) -> Dat
     short = docs.where(F.col("text").isNull() | (F.length("text") <= chunk))
 
     def whole(batches):
-        coder = Coder(Vocabulary.load(shared.value))
+        coder = coder_of(shared.value)
         for b in batches:
             ids = [None if t is None else coder.encode(t) for t in b.column(at).to_pylist()]
-            yield pa.record_batch([*b.columns, _lists(ids)], [*b.schema.names, "ids"])
+            back = [pa.array([None if x is None else coder.decode(np.frombuffer(x, "<i4")) for x in ids], pa.string())] if decoded else []
+            yield pa.record_batch([*b.columns, _lists(ids), *back], [*b.schema.names, "ids", *([decoded] if decoded else [])])
 
-    done = short.mapInArrow(whole, f"{schema}, ids array<int>")
-    giants = settle(docs.where(F.length("text") > chunk).withColumn("_giant", F.monotonically_increasing_id()))
+    done = short.mapInArrow(whole, f"{schema}, ids array<int>" + (f", `{decoded}` string" if decoded else ""))
+    giants = settle(docs.where(F.length("text") > chunk).withColumn("__tt_giant", F.monotonically_increasing_id()))
     if giants.isEmpty():
         return done
 
     def cut(batches):
-        coder = Coder(Vocabulary.load(shared.value))
+        coder = coder_of(shared.value)
         k = coder.v.longest
         for b in batches:
             for key, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
@@ -394,18 +508,18 @@ def encode(docs: DataFrame, model: str | None = None, chunk: int = CHUNK) -> Dat
                 rows = [(key, c, t[max(0, a - k - 1) : a + chunk + k + 1], min(a, k + 1), min(chunk, len(t) - a)) for c, a in enumerate(range(0, len(t), chunk))]
                 for s in range(0, len(rows), 64):
                     cols = zip(zip(*rows[s : s + 64]), (pa.int64(), pa.int32(), pa.string(), pa.int32(), pa.int32()))
-                    yield pa.record_batch([pa.array(x, kind) for x, kind in cols], ["_giant", "c", "part", "a", "n"])
+                    yield pa.record_batch([pa.array(x, kind) for x, kind in cols], ["__tt_giant", "c", "part", "a", "n"])
 
-    chunks = settle(giants.select("_giant", "text").mapInArrow(cut, "_giant long, c int, part string, a int, n int").repartition("_giant", "c"))
+    chunks = settle(giants.select("__tt_giant", "text").mapInArrow(cut, "__tt_giant long, c int, part string, a int, n int").repartition("__tt_giant", "c"))
 
     def matrices(batches):
-        coder = Coder(Vocabulary.load(shared.value))
+        coder = coder_of(shared.value)
         for b in batches:
             for key, c, part, a, n in zip(*(x.to_pylist() for x in b.columns)):
                 m = coder.transfer(part, a, a + n)
                 flat = [(*i, *j, w) for i, row in m.items() for j, w in row.items()]
                 cols = list(zip(*flat)) if flat else [[]] * 5
-                yield pa.record_batch([pa.array([key], pa.int64()), pa.array([c], pa.int32()), *[pa.array([list(x)], pa.list_(pa.int32())) for x in cols[:4]], pa.array([list(cols[4])], pa.list_(pa.float64()))], ["_giant", "c", "i0", "i1", "j0", "j1", "w"])
+                yield pa.record_batch([pa.array([key], pa.int64()), pa.array([c], pa.int32()), *[pa.array([list(x)], pa.list_(pa.int32())) for x in cols[:4]], pa.array([list(cols[4])], pa.list_(pa.float64()))], ["__tt_giant", "c", "i0", "i1", "j0", "j1", "w"])
 
     def combine(table: pa.Table) -> pa.Table:
         rows = sorted(table.to_pylist(), key=lambda r: r["c"])
@@ -416,22 +530,23 @@ def encode(docs: DataFrame, model: str | None = None, chunk: int = CHUNK) -> Dat
                 m.setdefault((i0, i1), {})[j0, j1] = w
             ms.append(m)
         ways = boundaries(ms)
-        cols = [[r["_giant"] for r in rows], [r["c"] for r in rows], *([x[p][k] for x in ways] for p in (0, 1) for k in (0, 1))]
-        return pa.table([pa.array(cols[0], pa.int64()), *[pa.array(c, pa.int32()) for c in cols[1:]]], ["_giant", "c", "e0", "e1", "l0", "l1"])
+        cols = [[r["__tt_giant"] for r in rows], [r["c"] for r in rows], *([x[p][k] for x in ways] for p in (0, 1) for k in (0, 1))]
+        return pa.table([pa.array(cols[0], pa.int64()), *[pa.array(c, pa.int32()) for c in cols[1:]]], ["__tt_giant", "c", "e0", "e1", "l0", "l1"])
 
-    ways = chunks.mapInArrow(matrices, "_giant long, c int, i0 array<int>, i1 array<int>, j0 array<int>, j1 array<int>, w array<double>")
-    ways = ways.groupBy("_giant").applyInArrow(combine, "_giant long, c int, e0 int, e1 int, l0 int, l1 int")
+    ways = chunks.mapInArrow(matrices, "__tt_giant long, c int, i0 array<int>, i1 array<int>, j0 array<int>, j1 array<int>, w array<double>")
+    ways = ways.groupBy("__tt_giant").applyInArrow(combine, "__tt_giant long, c int, e0 int, e1 int, l0 int, l1 int")
 
     def traced(batches):
-        coder = Coder(Vocabulary.load(shared.value))
+        coder = coder_of(shared.value)
         for b in batches:
             col = {n: b.column(k).to_pylist() for k, n in enumerate(b.schema.names)}
             ids = [coder.path(p, a, a + n, (e0, e1), (l0, l1)) for p, a, n, e0, e1, l0, l1 in zip(*(col[x] for x in ("part", "a", "n", "e0", "e1", "l0", "l1")))]
-            yield pa.record_batch([pa.array(col["_giant"], pa.int64()), pa.array(col["c"], pa.int32()), _lists(ids)], ["_giant", "c", "ids"])
+            yield pa.record_batch([pa.array(col["__tt_giant"], pa.int64()), pa.array(col["c"], pa.int32()), _lists(ids)], ["__tt_giant", "c", "ids"])
 
-    parts = settle(chunks.join(settle(ways), ["_giant", "c"]).mapInArrow(traced, "_giant long, c int, ids array<int>"))
-    joined = parts.groupBy("_giant").agg(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("c", "ids"))), lambda x: x["ids"])).alias("ids"))
-    return done.unionByName(giants.join(joined, "_giant").select(*names, "ids"))
+    parts = settle(chunks.join(settle(ways), ["__tt_giant", "c"]).mapInArrow(traced, "__tt_giant long, c int, ids array<int>"))
+    joined = parts.groupBy("__tt_giant").agg(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("c", "ids"))), lambda x: x["ids"])).alias("ids"))
+    long = giants.join(joined, "__tt_giant").select(*names, "ids")
+    return done.unionByName(decode(long, model, decoded) if decoded else long)
 
 
 def decode(coded: DataFrame, model: str | None = None, to: str = "decoded") -> DataFrame:
@@ -442,7 +557,7 @@ def decode(coded: DataFrame, model: str | None = None, to: str = "decoded") -> D
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in coded.schema)
 
     def run(batches):
-        coder = Coder(Vocabulary.load(shared.value))
+        coder = coder_of(shared.value)
         for b in batches:
             ids = b.column(at)
             flat, offsets = ids.values.to_numpy(zero_copy_only=False), ids.offsets.to_numpy()
@@ -457,13 +572,13 @@ def query(spark, sf_dir: str) -> DataFrame:
     """Of every document the number of pieces, a digest of the ids, a digest of the decoded text, and whether that is the text."""
     from .common import read
 
-    coded = decode(encode(read(spark, sf_dir, "documents").select("doc_id", "text")))
+    coded = encode(read(spark, sf_dir, "documents").select("doc_id", "text"), decoded="decoded")
     digest = F.xxhash64("ids")
     return coded.select("doc_id", F.coalesce(F.size("ids"), F.lit(0)).cast("long").alias("n_pieces"), digest.alias("ids_xxhash64"), F.sha2("decoded", 256).alias("decoded_sha256"), F.col("decoded").eqNullSafe(F.col("text")).alias("round_trip"))
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Last stage of a pipeline: the columns of ``docs`` but the text, with piece ids and the round trip checked."""
-    coded = decode(encode(docs), to="_decoded")
-    rest = [f"`{c}`" for c in docs.columns if c != "text"]
-    return coded.select(*rest, "ids", F.coalesce(F.size("ids"), F.lit(0)).cast("long").alias("n_pieces"), F.col("_decoded").eqNullSafe(F.col("text")).alias("round_trip"))
+    coded = encode(docs, decoded="__tt_decoded")
+    rest = [f"`{c}`" for c in docs.columns if c not in ("text", "ids", "n_pieces", "round_trip")]
+    return coded.select(*rest, "ids", F.coalesce(F.size("ids"), F.lit(0)).cast("long").alias("n_pieces"), F.col("__tt_decoded").eqNullSafe(F.col("text")).alias("round_trip"))
