@@ -35,7 +35,7 @@ class Jump:
     method: str = "linear"
     dilate_frames: int = 1
     max_disp_mm_per_frame: float = 25.0
-    #: None: from the default 25 mm and the default pixel size. It does not follow changes of either.
+    #: From the default 25 mm and the default pixel size; it does not follow changes of either.
     max_disp_px_per_frame: float = 25.0 * 1.97
     max_disp_px_per_frame_by_node: tuple[float, ...] = ()
 
