@@ -1,6 +1,7 @@
 """Secret scans: candidates by shape, false positives removed by a random forest, in DataFrame and Spark ML operations only.
 
-A candidate is a run of 8 or more key characters with a digit, bare or after ``name=`` or ``name:``. Its features are length,
+A candidate is a value of 8 or more characters with a digit: a bare run of key characters, or what follows ``name=``, ``name:`` or
+``://user:``. All of a line are taken, also those within others; the forest decides on each. Its features are length,
 character classes and the transitions between them, entropy, dictionary coverage, the path, and the words around it. The forest is
 trained from labelled findings. ``labelled_findings`` makes a set by rule: values as generators of keys give them, and what
 scanners falsely report (numbers, cards, telephone numbers, addresses, placeholders, identifiers, checksums, versions).
@@ -26,7 +27,28 @@ PLACEHOLDERS = "example|sample|changeme|placeholder|dummy|test|foobar|your|inser
 DICTIONARY = "password|secret|admin|user|name|value|service|server|client|report|version|release|build|image|index|config|data|file|page|test|example|sample|item|order|chapter|section|table|figure|january|february|march|april|august|september|october|november|december"
 TEST_PATHS = "test|example|sample|doc|mock|fixture|readme"
 
-_WORD = r"^[^A-Za-z0-9+/_\\-]*(?:([A-Za-z_][A-Za-z0-9_.\\-]*)[\"\']?[=:]+[\"\']?)?([A-Za-z0-9+/_=.\\-]{8,})"
+# Characters of a bare value, of an assigned one without quotes, a quote that may be escaped, an assignment sign, a name.
+_BARE, _FREE, _QUOTE, _OP = r"[A-Za-z0-9+/_.\-]", r"[^\s\"'<>,;&(){}\[\]|`]", r"\\?[\"']?", r"(?::=|=>|={1,3}|:{1,2})"
+_SIGN, _NAME = rf"\s{{0,3}}{_OP}\s{{0,3}}", r"[.\-]*(\w(?:[\w.\-]*\w)?)"
+_VALUE = rf"(?:\\?\"[^\"]{{8,}}?\\?\"|\\?'[^']{{8,}}?\\?'|{_QUOTE}{_FREE}{{8,}})"
+_LOGIN = r"(?<=://)\w[\w.\-]*:[^\s@/\"']{8,}(?=@)"
+# a named value is not a bare one too
+_UNNAMED = rf"(?:(?=//)|(?<!\w{_QUOTE}{_SIGN}{_QUOTE}))"
+#: The starts of all candidates of a line, and as group 1 their texts. Matches are empty, so that candidates may overlap.
+NAMED = rf"(?<![\w.\-])(?=({_LOGIN}|{_NAME}{_QUOTE}{_SIGN}(?!//){_VALUE}))"
+BARE = rf"(?<!{_BARE})(?=({_UNNAMED}{_BARE}{{8,}}={{0,2}}))"
+_PARTS = rf"(?s)^{_NAME}{_QUOTE}{_SIGN}({_QUOTE})(.*)$"
+_BETWEEN = r"[\s,;&?{}\[\]()<>]+"
+#: Characters of a line that are looked at for the words before a candidate and after it.
+NEAR = 200
+#: A character that marks starts.
+MARK = "\u0001"
+# running lengths of parts, in blocks so that the work on a long line does not grow with the square of its candidates
+_STARTS = (
+    "aggregate(sequence(0, (size(parts) - 1) div 512), struct(0 as p, cast(array() as array<int>) as a), (x, b) -> "
+    "aggregate(slice(parts, b * 512 + 1, 512), struct(x.p as p, cast(array() as array<int>) as a), "
+    "(y, s) -> struct(y.p + length(s) as p, array_append(y.a, y.p + length(s)) as a), y -> struct(y.p as p, concat(x.a, y.a) as a)), x -> x.a)"
+)
 FEATURES = [
     "length", "digits", "uppers", "lowers", "others", "distinct", "entropy", "runs", "digit_letter", "case_flips", "vowel_flips",
     "hex", "words", "placeholder", "starts_upper4", "dots", "named", "assigned", "near_secret", "near_other", "after_other", "test_path", "path_depth",
@@ -34,27 +56,34 @@ FEATURES = [
 
 
 def candidates(docs: DataFrame, path: str | None = "source") -> DataFrame:
-    """(doc_id, line_no, word_no, path, name, value, before, before2, after) of every candidate of ``docs(doc_id, text)``.
+    """(doc_id, line_no, at, path, name, value, before, before2, after) of every candidate of ``docs(doc_id, text)``.
 
-    Lines are split at line feeds, words at white space. Null texts have no candidates. Without a path column it is empty.
+    Lines are split at line feeds; ``at`` is the place of the value in its line, in characters from 0. Null texts have no candidates.
+    Without a path column it is empty.
     """
     where = F.coalesce(F.col(path).cast("string"), F.lit("")) if path and path in docs.columns else F.lit("")
     lines = docs.select("doc_id", where.alias("path"), F.posexplode(F.split(F.col("text").cast("string"), "\n")).alias("line_no", "line"))
     # a digit is needed; most lines have none
-    lines = lines.where(F.col("line").rlike("[0-9]")).withColumn("w", F.split("line", r"\s+"))
-    at = F.expr(f"filter(sequence(0, size(w) - 1), i -> length(w[i]) >= 8 and w[i] rlike '[0-9]' and w[i] rlike r'{_raw(_WORD)}')")
-    found = lines.select("doc_id", "path", "line_no", "w", F.explode(at).alias("word_no"))
-    word = F.get("w", F.col("word_no"))
-    part = lambda k: F.regexp_extract(word, _raw(_WORD), k)
-    near = lambda d: F.lower(F.coalesce(F.get("w", F.col("word_no") + d), F.lit("")))
-    found = found.select("doc_id", "line_no", "word_no", "path", part(1).alias("name"), F.rtrim(F.regexp_replace(part(2), r"[.\-]+$", "")).alias("value"), near(-1).alias("before"), near(-2).alias("before2"), near(1).alias("after"))
+    lines = lines.where(F.col("line").rlike("[0-9]")).withColumn("line", F.translate("line", MARK, " "))
+    kinds = [F.struct(F.lit(named).alias("named"), F.regexp_extract_all("line", F.lit(p), F.lit(1)).alias("hits"), F.split(F.regexp_replace("line", p, MARK), MARK).alias("parts")) for named, p in ((True, NAMED), (False, BARE))]
+    found = lines.select("doc_id", "path", "line_no", F.explode(F.array(*kinds)).alias("k")).select("doc_id", "path", "line_no", "k.*").where("size(hits) > 0")
+    found = found.withColumn("starts", F.expr(_STARTS))
+    # the parts that end at a start, and those from it on
+    some = lambda first, n: F.array_join(F.slice("parts", first, n), "")
+    spot = lambda text, i: F.struct(F.get("starts", i).alias("start"), text.alias("text"), F.right(some(F.greatest(F.lit(1), i - 2), F.least(F.lit(4), i + 1)), F.lit(NEAR)).alias("pre"), F.substr(some(i + 2, F.lit(4)), F.length(text) + 1, F.lit(NEAR)).alias("post"))
+    found = found.select("doc_id", "path", "line_no", "named", F.inline(F.transform("hits", spot)))
+    part = lambda k: F.regexp_extract("text", _PARTS, k)
+    found = found.withColumns({"raw": F.when(F.col("named"), part(3)).otherwise(F.col("text")), "quoted": F.col("named") & (part(2) != "")})
+    value = F.when(F.col("quoted") & F.col("raw").rlike("[\"']$"), F.regexp_replace("raw", r"\\?[\"']$", "")).otherwise(F.regexp_replace("raw", r"[.\\\-]+$", ""))
+    # an assignment that is complete says nothing on the next value
+    words = F.filter(F.split("pre", _BETWEEN), lambda t: (t != "") & ~t.rlike("[=:].*[A-Za-z0-9]"))
+    found = found.withColumns({"value": value, "words": words})
+    near = lambda d: F.lower(F.coalesce(F.get("words", F.size("words") - d), F.lit("")))
+    at = F.col("start") + F.length("text") - F.length("raw")
+    found = found.select("doc_id", "line_no", at.alias("at"), "path", F.when(F.col("named"), part(1)).otherwise(F.lit("")).alias("name"), "value", near(1).alias("before"), near(2).alias("before2"), F.lower(F.regexp_extract("post", r"^\S*\s+(\S+)", 1)).alias("after"))
     return found.where("length(value) >= 8 and value rlike '[0-9]'")
 
 
-def _raw(pattern: str) -> str:
-    return pattern.replace("\\\\", "\\").replace("\\'", "\\x27").replace('\\"', "\\x22")
-
-
 def features(found: DataFrame) -> DataFrame:
     """``found`` with a double column for each of FEATURES."""
     v, low = F.col("value"), F.lower("value")
@@ -141,11 +170,11 @@ def scan(docs: DataFrame, model: RandomForestClassificationModel, path: str | No
     rows = VectorAssembler(inputCols=[f"f_{f}" for f in FEATURES], outputCol="f_x").transform(rows)
     rows = model.setFeaturesCol("f_x").setProbabilityCol("f_p").setRawPredictionCol("f_raw").setPredictionCol("f_label").transform(rows)
     score = F.get(vector_to_array("f_p"), 1)
-    return rows.select("doc_id", "line_no", "word_no", "path", "name", "value", score.alias("score"), (score >= 0.5).alias("secret"))
+    return rows.select("doc_id", "line_no", "at", "path", "name", "value", score.alias("score"), (score >= 0.5).alias("secret"))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
     """Findings by place; the value itself only as its length and SHA-256."""
     findings = settle(labelled_findings(spark))  # its expressions are long; the forest reads it several times
     got = scan(read(spark, sf_dir, "documents"), train(findings))
-    return got.select("doc_id", "line_no", "word_no", "name", F.length("value").alias("length"), F.sha2("value", 256).alias("value_sha256"), F.round("score", 6).alias("score"), "secret")
+    return got.select("doc_id", "line_no", "at", "name", F.length("value").alias("length"), F.sha2("value", 256).alias("value_sha256"), F.round("score", 6).alias("score"), "secret")
