@@ -1,7 +1,7 @@
 """Secret scans: candidates by shape, false positives removed by a random forest, in DataFrame and Spark ML operations only.
 
-A candidate is a value of 8 or more characters with a digit: a bare run of key characters, or what follows ``name=``, ``name:`` or
-``://user:``. All of a line are taken, also those within others; the forest decides on each. Its features are length,
+A candidate is a value of 8 or more characters: what follows ``name=``, ``name:``, ``://user:`` or a secret word, or else a bare run of
+key characters with a digit. All of a line are taken, also those within others; the forest decides on each. Its features are length,
 character classes and the transitions between them, entropy, dictionary coverage, the path, and the words around it. The forest is
 trained from labelled findings. ``labelled_findings`` makes a set by rule: values as generators of keys give them, and what
 scanners falsely report (numbers, cards, telephone numbers, addresses, placeholders, identifiers, checksums, versions).
@@ -9,6 +9,8 @@ scanners falsely report (numbers, cards, telephone numbers, addresses, placehold
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -34,9 +36,11 @@ _VALUE = rf"(?:\\?\"[^\"]{{8,}}?\\?\"|\\?'[^']{{8,}}?\\?'|{_QUOTE}{_FREE}{{8,}})
 _LOGIN = r"(?<=://)\w[\w.\-]*:[^\s@/\"']{8,}(?=@)"
 # a named value is not a bare one too
 _UNNAMED = rf"(?:(?=//)|(?<!\w{_QUOTE}{_SIGN}{_QUOTE}))"
+# after a secret word, and no assignment itself
+_TOLD = rf"(?<=(?i:{SECRET_WORDS})\w{{0,12}}[\"']?\s{{1,3}}(?:(?:is|was)\s{{1,3}})?[\"'(]?)(?!{_NAME}{_QUOTE}{_OP}[^\s=]){_UNNAMED}"
 #: The starts of all candidates of a line, and as group 1 their texts. Matches are empty, so that candidates may overlap.
 NAMED = rf"(?<![\w.\-])(?=({_LOGIN}|{_NAME}{_QUOTE}{_SIGN}(?!//){_VALUE}))"
-BARE = rf"(?<!{_BARE})(?=({_UNNAMED}{_BARE}{{8,}}={{0,2}}))"
+BARE = rf"(?=((?<=[\s\"'(])(?={_FREE}{{8}}){_TOLD}{_FREE}{{8,}}|(?<!{_BARE}){_UNNAMED}(?={_BARE}*[0-9]){_BARE}{{8,}}={{0,2}}))"
 _PARTS = rf"(?s)^{_NAME}{_QUOTE}{_SIGN}({_QUOTE})(.*)$"
 _BETWEEN = r"[\s,;&?{}\[\]()<>]+"
 #: Characters of a line that are looked at for the words before a candidate and after it.
@@ -63,8 +67,8 @@ def candidates(docs: DataFrame, path: str | None = "source") -> DataFrame:
     """
     where = F.coalesce(F.col(path).cast("string"), F.lit("")) if path and path in docs.columns else F.lit("")
     lines = docs.select("doc_id", where.alias("path"), F.posexplode(F.split(F.col("text").cast("string"), "\n")).alias("line_no", "line"))
-    # a digit is needed; most lines have none
-    lines = lines.where(F.col("line").rlike("[0-9]")).withColumn("line", F.translate("line", MARK, " "))
+    # what any candidate needs; many lines have none of it
+    lines = lines.where(F.col("line").rlike(f"[0-9=:]|(?i:{SECRET_WORDS})")).withColumn("line", F.translate("line", MARK, " "))
     kinds = [F.struct(F.lit(named).alias("named"), F.regexp_extract_all("line", F.lit(p), F.lit(1)).alias("hits"), F.split(F.regexp_replace("line", p, MARK), MARK).alias("parts")) for named, p in ((True, NAMED), (False, BARE))]
     found = lines.select("doc_id", "path", "line_no", F.explode(F.array(*kinds)).alias("k")).select("doc_id", "path", "line_no", "k.*").where("size(hits) > 0")
     found = found.withColumn("starts", F.expr(_STARTS))
@@ -81,7 +85,7 @@ def candidates(docs: DataFrame, path: str | None = "source") -> DataFrame:
     near = lambda d: F.lower(F.coalesce(F.get("words", F.size("words") - d), F.lit("")))
     at = F.col("start") + F.length("text") - F.length("raw")
     found = found.select("doc_id", "line_no", at.alias("at"), "path", F.when(F.col("named"), part(1)).otherwise(F.lit("")).alias("name"), "value", near(1).alias("before"), near(2).alias("before2"), F.lower(F.regexp_extract("post", r"^\S*\s+(\S+)", 1)).alias("after"))
-    return found.where("length(value) >= 8 and value rlike '[0-9]'")
+    return found.where("length(value) >= 8")
 
 
 def features(found: DataFrame) -> DataFrame:
@@ -128,6 +132,18 @@ def labelled_findings(spark: SparkSession, rows: int = FINDINGS) -> DataFrame:
     plain = F.concat(pick(8, "chapter", "section", "report", "release", "figure", "service", "client"), pick(9, "-", "_", ""), pick(10, "table", "index", "version", "page", ""), digits.substr(1, 3))
     ip = F.concat_ws(".", *[F.pmod(r(20 + k), F.lit(250)).cast("string") for k in range(4)])
     mail = F.concat(F.translate(hexes.substr(1, 8), "0123456789", "ghijklmnop"), F.lit("."), digits.substr(1, 2))
+    # values without a digit or with other signs, and what only looks like them: one word, a sentence, a path
+    stems = ["correct", "horse", "battery", "staple", "dragon", "monkey", "summer", "purple", "silver", "tiger", "river", "coffee", "winter", "sun", "moon", "blue", "rocket", "garden", "shadow", "magic"]
+    phrase = lambda sign: F.concat_ws(sign, pick(30, *stems), pick(31, *stems), pick(32, *stems))
+    joined = F.when(F.pmod(r(33), F.lit(3)) == 0, F.concat(F.initcap(pick(30, *stems)), F.initcap(pick(31, *stems)), F.initcap(pick(32, *stems)))).otherwise(phrase(""))
+    letters = F.translate(cut(b64, 16, 24), "0123456789+/", "qWxZkVbNjGhT")
+    signs = F.concat(cut(b64, 3, 5), pick(34, "@", "!", "$", "#", "%", "&", "*"), hexes.substr(9, 5), pick(35, "word", "Key", "Pass", "qz", "Xw"), pick(36, "!", "$", "?", "@", "^", ""))
+    plain_words = ["required", "documents", "management", "something", "following", "character", "navigation", "disabled", "expired", "authentication", "permission", "information", "different", "generated", "important", "container", "available", "certainly", "undefined", "encrypted", "Wednesday", "mandatory", "settings", "question"]
+    plain_word = pick(37, *plain_words)
+    title = pick(38, "title", "note", "name", "class", "status", "type", "description", "author", "message", "label", "category", "content")
+    sentence = F.concat_ws(" ", pick(37, *plain_words), pick(39, "of", "and", "is", "the"), pick(40, *plain_words), pick(41, "with", "for", "in"), pick(42, *plain_words))
+    link = F.concat(F.lit("https://"), pick(43, *stems), F.lit(".example.org/"), pick(44, *stems), F.lit("/"), pick(45, *plain_words))
+    told = pick(46, "password", "secret", "passwd", "token", "credentials")
     e = F.lit("")
     row = lambda y, nm, val, b2, b, a=word: F.struct(F.lit(y).alias("label"), nm.alias("name"), val.alias("value"), b2.alias("before2"), b.alias("before"), a.alias("after"))
     kinds = [
@@ -150,10 +166,28 @@ def labelled_findings(spark: SparkSession, rows: int = FINDINGS) -> DataFrame:
         row(0, e, mail, word, word),
         row(0, e, F.concat_ws("-", digits.substr(1, 3), digits.substr(4, 4)), word, word),
         row(0, e, F.concat_ws("-", F.lit("2024"), digits.substr(1, 2), digits.substr(5, 2)), word, word),
+        row(1, name, joined, word, word),
+        row(1, name, phrase(" "), word, word),
+        row(1, name, F.concat(pick(30, *stems), digits.substr(1, 1), pick(31, *stems), digits.substr(2, 2)), word, word),
+        row(1, name, letters, word, word),
+        row(1, name, signs, word, word),
+        row(1, e, joined, word, told),
+        row(1, e, F.when(F.pmod(r(47), F.lit(2)) == 0, letters).otherwise(signs), told, pick(48, "is", "was")),
+        row(1, pick(49, "user", "admin", "root", "db"), F.concat(hexes.substr(1, 4), pick(35, "word", "Key", "Pass", "qz", "Xw"), cut(hexes, 6, 12)), word, F.concat(pick(50, "postgres", "mysql", "redis", "https"), F.lit("://"))),
+        row(0, name, plain_word, word, word),
+        row(0, e, plain_word, word, told),
+        row(0, e, plain_word, told, pick(48, "is", "was")),
+        row(0, title, plain_word, word, word),
+        row(0, title, F.when(F.pmod(r(47), F.lit(2)) == 0, joined).otherwise(sentence), word, word),
+        row(0, title, sentence, word, word),
+        row(0, pick(51, "url", "href", "link", "src"), link, word, word),
         row(0, e, F.concat(pick(17, "v", "release-", "build-"), F.pmod(r(18), F.lit(40)).cast("string"), F.lit(".10."), digits.substr(1, 4)), word, word),
     ]
     path = pick(19, "src0", "src1", "src/app/config.py", "deploy/env", "notes", "web", "tests/data", "docs/readme", "")
-    made = spark.range(rows).select("id", F.get(F.array(*kinds), F.pmod(F.col("id"), F.lit(len(kinds))).cast("int")).alias("k"), path.alias("path"))
+    # a few kinds at once, as all together are too long to compile
+    at = F.pmod(F.col("id"), F.lit(len(kinds))).cast("int")
+    some = lambda k: spark.range(rows).where((at >= k) & (at < k + 8)).select(F.get(F.array(*kinds[k : k + 8]), at - k).alias("k"), path.alias("path"))
+    made = reduce(DataFrame.unionAll, [some(k) for k in range(0, len(kinds), 8)])
     return made.select("k.label", "path", "k.name", "k.value", "k.before2", "k.before", "k.after")
 
 
