@@ -27,3 +27,29 @@ def test_feature_matrix_has_every_session(spark, sf_dir):
     key = ["session_idx", "window_sec", "center_frame"]
     got, want = (d.sort_values(key).reset_index(drop=True) for d in (got, want))
     assert got.equals(want[got.columns])
+
+
+@pytest.fixture(scope="module")
+def ranks(spark, sf_dir):
+    """Rank correlations of all summary columns of the same table by pandas, and their names."""
+    t, names = queries._table(queries.pose(spark, sf_dir))
+    return t.select(*names).toPandas().astype(float), names
+
+
+def test_rank_correlations_of_all_pairs(spark, sf_dir, ranks):
+    d, names = ranks
+    got = {(r.a, r.b): r.rho for r in queries.QUERIES["corr_spearman"](spark, sf_dir).collect()}
+    assert len(names) == 12 and set(got) == {(a, b) for i, a in enumerate(names) for b in names[i + 1 :]}
+    for (a, b), rho in got.items():
+        both = d[[a, b]].dropna().rank()
+        assert rho == pytest.approx(both[a].corr(both[b]), abs=2e-6)
+
+
+def test_report_has_all_features(spark, sf_dir, ranks):
+    d, names = ranks
+    got = {r.feature: r for r in queries.QUERIES["feature_report"](spark, sf_dir).collect()}
+    assert set(got) == set(names)
+    for a in names:
+        pairs = [d[[a, b]].dropna().rank() for b in names if b != a]
+        assert got[a].max_abs_corr == pytest.approx(max(abs(p[a].corr(p.iloc[:, 1])) for p in pairs), abs=2e-6)
+        assert got[a].valid_n == d[a].count() and got[a]["median"] == pytest.approx(d[a].median(), abs=2e-6)

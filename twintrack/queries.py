@@ -305,7 +305,7 @@ def corr_pearson(p):
 @query
 def corr_spearman(p):
     t, names = _table(p)
-    return select.corr_spearman(t, [(a, b) for i, a in enumerate(names[:6]) for b in names[i + 1 : 6]])
+    return select.corr_spearman(t, [(a, b) for i, a in enumerate(names) for b in names[i + 1 :]])
 
 
 @query
@@ -323,7 +323,7 @@ def topk_features(p):
 @query
 def feature_report(p):
     t, names = _table(p)
-    return select.inspect(t, names[:5]).select("feature", "valid_n", "median", "max_abs_corr")
+    return select.inspect(t, names).select("feature", "valid_n", "median", "max_abs_corr")
 
 
 @query
