@@ -12,16 +12,18 @@ def remainder(doc_id: str, k: int):
 
 
 def sample(docs: DataFrame, labels: DataFrame, rows: int, most_bytes: int, most_classes: int = 1000) -> DataFrame:
-    """(doc_id, y, text) of at most ``rows`` labelled documents of each of ``most_classes`` classes, and ``most_bytes`` of text of each.
+    """(doc_id, y, text) of at most ``rows`` labelled documents of each class, and ``most_bytes`` of text of each.
 
     ``labels(doc_id, y)`` has the rows that may be learned from. The rows with the smallest hash of the id are taken; a row
-    that would pass the byte bound is left out, the text of a taken one is whole. Null labels, ids and texts are not taken.
+    that would pass the byte bound is left out, the text of a taken one is whole. Null labels, ids and texts are not taken. More than ``most_classes`` classes are an error, as none is left out.
     """
     spark = docs.sparkSession
     known = labels.where("doc_id is not null and y is not null").groupBy("doc_id").agg(F.min("y").alias("y"), F.max("y").alias("y2"))
     known = known.where("y = y2").select("doc_id", "y")
     order = F.xxhash64(F.col("doc_id").cast("string"))
-    classes = [r.y for r in known.select("y").distinct().orderBy("y").limit(most_classes).collect()]
+    classes = [r.y for r in known.select("y").distinct().orderBy("y").limit(most_classes + 1).collect()]
+    if len(classes) > most_classes:
+        raise ValueError(f"more than {most_classes} classes to learn from")
     picked = None
     for y in classes:
         some = known.where(F.col("y") == F.lit(y)).orderBy(order, "doc_id").limit(rows)
