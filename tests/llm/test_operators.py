@@ -165,7 +165,7 @@ def test_line_dedup_is_brute_force(spark):
 def test_line_dedup_by_shuffles_alone(spark, monkeypatch):
     docs = spark.createDataFrame([(k, "\n".join([sentence(0, 12), sentence(k, 12), sentence(7, 30) + f" x{k}"])) for k in range(30)], "doc_id long, text string")
     sent = ids(linededup.dedup(docs), "doc_id", "text")
-    monkeypatch.setattr(linededup, "BROADCAST_ROWS", -1)
+    monkeypatch.setattr(linededup, "BROADCAST_BYTES", -1)
     assert ids(linededup.dedup(docs), "doc_id", "text") == sent
 
 

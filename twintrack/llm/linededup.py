@@ -5,10 +5,14 @@ line, in order of (doc_id, line number), has a Jaccard similarity of 0.8 or more
 
 Words are ordered by rarity (occurrences of their hash bucket in the whole corpus, in logarithmic steps, then hash). Two similar
 lines share a word of their prefixes, so prefix words are the join key. Candidates must pass the length filter, the positional
-filter, and a bound on the symmetric difference from 96 parity bits. A left-semi self-join first keeps the prefix rows that have
-any candidate; it stops at a row's first one, so groups of copies don't multiply. Only their lines are verified word by word:
-first against the earliest line of each prefix word, then against the earliest that is still unmatched, and what is left against
-all. Exact copies are found by their 128-bit hash beforehand.
+filter, and a bound on the symmetric difference from 96 parity bits. A left-semi self-join first finds the prefix rows that have
+any candidate; it stops at a row's first one, so groups of copies don't multiply. Only their lines are verified: first
+against the earliest line of each prefix word, and what is left against all. Two lines' words are compared by their 64-bit hashes;
+only a collision within the pair could mislead that. Exact copies are found by their 128-bit hash beforehand, and that pair of
+hashes is a line's identity from there on.
+
+A prefix word of more than HOT rows would be a large group. Lines with it are joined on it and a second word instead: similar
+lines with the same first common word have the next one in common too, within one word more of their prefixes.
 """
 
 from __future__ import annotations
@@ -21,75 +25,117 @@ from .common import read, settle
 THRESHOLD = 0.8
 #: Hash buckets whose occurrences give the rarity of words.
 BUCKETS = 1 << 18
-#: Most rows of a table that is sent to all executors; a larger one is joined by a shuffle.
-BROADCAST_ROWS = 1_000_000
-_SPACE = "[ \\\\t\\\\x0B\\\\f\\\\r]+"
-_ID = ["s1", "s2", "n"]
+#: Most bytes of a table that is sent to all executors; a larger one is joined by a shuffle.
+BROADCAST_BYTES = 64 << 20
+#: Rows of a prefix word from which lines are joined on two words, and the most such words.
+HOT, HOT_WORDS = 20_000, 1000
+_ID = ["h1", "h2"]
 
 
 def _sent(df: DataFrame) -> DataFrame:
-    """``df``, a table read back, with a broadcast hint if its counted rows are within the bound."""
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+    """``df``, a table read back, with a broadcast hint if its counted bytes are within the bound."""
+    wide = [F.size(c) * 24 for c, kind in df.dtypes if kind.startswith("array")]
+    got = df.agg(F.count("*").alias("n"), *[F.sum(x).alias(f"w{k}") for k, x in enumerate(wide)]).first()
+    return F.broadcast(df) if got.n * 16 * len(df.columns) + sum(x or 0 for x in got[1:]) <= BROADCAST_BYTES else df
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("no", "line"))
 
 
-def words(line: str) -> str:
-    """SQL of a line's distinct words."""
-    return f"array_remove(array_distinct(split({line}, '{_SPACE}')), '')"
+def _split(text: str, more: str = "") -> str:
+    """SQL of the words of a text and empty strings; ``more``: other characters between words. A split at one character is the fastest."""
+    rare = "\t\x0b\f\r"
+    odd = " or ".join(f"contains({text}, '{c}')" for c in rare)
+    plain = f"if({odd}, translate({text}, '{rare}', '{' ' * len(rare)}'), {text})"
+    for c in more:
+        plain = f"replace({plain}, '{c}', ' ')"
+    return f"split({plain}, ' ')"
+
+
+def _hashes(line: str) -> str:
+    """SQL of the 64-bit hashes of a line's distinct words."""
+    return f"array_remove(array_distinct(transform({_split(line)}, t -> xxhash64(t))), xxhash64(''))"
+
+
+def _level(count: int) -> int:
+    """Occurrences in steps of an eighth of an octave, -128 to 127, as the top byte of a long."""
+    return min(255, 8 * count.bit_length() + (count >> max(0, count.bit_length() - 4) & 7)) - 128 << 56
 
 
 def rarity(docs: DataFrame) -> str:
-    """SQL of an array: per hash bucket 0 to 255, more for more occurrences in the corpus."""
-    w = docs.select(F.explode(F.expr(f"split(text, '[\\\\n{_SPACE[1:]}')")).alias("w"))
-    counts = w.groupBy(F.xxhash64("w").bitwiseAND(BUCKETS - 1).alias("k")).count().collect()  # BUCKETS rows at most
-    level = [0] * BUCKETS
+    """SQL of an array: per hash bucket the level of its occurrences in the corpus."""
+    w = docs.select(F.explode(F.expr(_split("text", "\n"))).alias("w"))
+    counts = w.groupBy(F.xxhash64("w").bitwiseAND(BUCKETS - 1).cast("int").alias("k")).count().collect()  # BUCKETS rows at most
+    level = [_level(0)] * BUCKETS
     for r in counts:
-        level[r["k"]] = min(255, 8 * r["count"].bit_length() + (r["count"] >> max(0, r["count"].bit_length() - 4) & 7))
-    return f"cast(split('{','.join(map(str, level))}', ',') as array<int>)"
+        level[r["k"]] = _level(r["count"])
+    return f"cast(split('{','.join(map(str, level))}', ',') as array<bigint>)"
 
 
 def signatures(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """A row for each line with words: doc_id, no, line hashes h1 and h2, words n, id bits s1 and s2, prefix words."""
+    """A row for each line with words: doc_id, no, line hashes h1 and h2, words n, parity bits s1 and s2, prefix words and the one after them.
+
+    A prefix word is its rarity and 56 bits of its hash. A word's parity bit is one of 64 in s1 or of 32 in s2.
+    """
     level = rarity(docs)
     lines = lines_of(docs).where(F.col("line").rlike(r"[^ \t\x0B\f\r]"))
-    # the empty string before a leading space is no word
-    h = lines.withColumn("w", F.expr(f"array_remove(array_distinct(transform(split(line, '{_SPACE}'), t -> xxhash64(t))), xxhash64(''))"))
-    h = h.select("doc_id", "no", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(7), "line").alias("h2"), F.size("w").alias("n"), "w")
-    bit = "shiftright(v, 16) & 127"  # 96 parity bits: places 0 to 63 in s1, the others in the lower half of s2
-    s1 = f"aggregate(w, 0L, (a, v) -> if(({bit}) < 64, a ^ shiftleft(1L, cast({bit} as int)), a))"
-    s2 = f"aggregate(w, 0L, (a, v) -> if(({bit}) < 64, a, a ^ shiftleft(1L, cast({bit} & 31 as int))))"
-    packed = f"sort_array(transform(w, v -> shiftleft(cast(get({level}, cast(v & {BUCKETS - 1} as int)) as bigint), 48) | (v & {(1 << 48) - 1})))"
-    h = h.select("doc_id", "no", "h1", "h2", "n", F.expr(s1).alias("s1"), F.expr(f"({s2}) | shiftleft(h1, 32)").alias("s2"), F.expr(packed).alias("w"))
-    prefix = F.slice("w", 1, (F.col("n") - F.ceil(F.col("n") * threshold - 1e-9) + 1).cast("int"))
-    return h.select("doc_id", "no", "h1", "h2", "n", "s1", "s2", prefix.alias("prefix"))
+    h = lines.select("doc_id", "no", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(7), "line").alias("h2"), F.expr(_hashes("line")).alias("w"))
+    s1 = "aggregate(w, 0L, (a, v) -> a ^ shiftleft(shiftrightunsigned(v, 63), cast(shiftright(v, 20) & 63 as int)))"
+    s2 = "aggregate(w, 0L, (a, v) -> a ^ shiftleft(shiftrightunsigned(~v, 63), cast(shiftright(v, 20) & 31 as int)))"
+    # never null, so that the array is sorted as plain numbers
+    packed = f"sort_array(transform(w, v -> coalesce(get({level}, cast(v & {BUCKETS - 1} as int)), 0L) | shiftrightunsigned(v, 8)))"
+    h = h.select("doc_id", "no", "h1", "h2", F.size("w").alias("n"), F.expr(s1).alias("s1"), F.expr(s2).alias("s2"), F.expr(packed).alias("w"))
+    return h.select("doc_id", "no", "h1", "h2", "n", "s1", "s2", F.slice("w", 1, _prefix(threshold) + 1).alias("prefix"))
+
+
+def _prefix(threshold: float):
+    """Words of the prefix of a line of n words."""
+    return (F.col("n") - F.ceil(F.col("n") * threshold - 1e-9) + 1).cast("int")
+
+
+def hot_words(table: DataFrame, threshold: float) -> list[int]:
+    """Prefix words of more than HOT rows of ``signatures``, by a sketch of bounded size; HOT_WORDS at most, the most frequent ones."""
+    prefix, least = F.slice("prefix", 1, _prefix(threshold)), _level(HOT)
+    # what occurs more often than HOT in the corpus at all; the last word of a prefix is the most frequent one
+    w = table.where(F.get("prefix", _prefix(threshold) - 1) >= least).select(F.explode(prefix).alias("w")).where(F.col("w") >= least)
+    got = w.agg(F.expr(f"approx_top_k(w, {HOT_WORDS}, {16 * HOT_WORDS})").alias("top")).first().top
+    return sorted(r["item"] for r in got or [] if r["count"] > HOT)
+
+
+def _keyed(table: DataFrame, hot: list[int], threshold: float) -> DataFrame:
+    """(h1, n, s1, s2, tok) with a row for each join key of a line; s2 has the place of its prefix word in the lower half."""
+    some = F.posexplode(F.slice("prefix", 1, _prefix(threshold))).alias("pos", "tok")
+    rows = table.select("h1", "n", "s1", "s2", *(["prefix"] if hot else []), some).withColumn("s2", F.expr("shiftleft(s2, 32) | pos"))
+    if hot:
+        two = F.transform(F.filter("prefix", lambda v: v != F.col("tok")), lambda v: F.xxhash64("tok", v))
+        # lines that may have a single word in common
+        two = F.when(F.ceil(F.col("n") * threshold - 1e-9) <= 1, F.array_append(two, F.col("tok"))).otherwise(two)
+        rows = rows.withColumn("tok", F.explode(F.when(F.col("tok").isin(hot), two).otherwise(F.array("tok"))))
+    return rows.select("h1", "n", "s1", "s2", "tok")
 
 
 def _near(threshold: float) -> str:
     """SQL of the filters on two prefix rows x and y with the same word, the cheapest and most selective first."""
     least = f"(x.n + y.n) * {threshold / (1 + threshold)!r}D - 1e-9"
     ratio = repr((1 + threshold) / (1 - threshold)) if threshold < 1 else "1e18"
-    differ = "bit_count(x.s1 ^ y.s1)"
+    differ, left = "bit_count(x.s1 ^ y.s1)", "({0}.n - ({0}.s2 & 4294967295L))".format
     return (
         f"{differ} * {ratio}D <= x.n + y.n + 1e-6"
-        f" and ({differ} + bit_count((x.s2 ^ y.s2) & 4294967295L)) * {ratio}D <= x.n + y.n + 1e-6"
-        " and (x.s1 <> y.s1 or x.s2 <> y.s2 or x.n <> y.n)"
-        f" and x.n >= y.n * {threshold}D - 1e-9 and y.n >= x.n * {threshold}D - 1e-9 and least(x.n - x.pos, y.n - y.pos) >= {least}"
+        f" and ({differ} + bit_count(shiftrightunsigned(x.s2 ^ y.s2, 32))) * {ratio}D <= x.n + y.n + 1e-6 and x.h1 <> y.h1"
+        f" and x.n >= y.n * {threshold}D - 1e-9 and y.n >= x.n * {threshold}D - 1e-9 and least({left('x')}, {left('y')}) >= {least}"
     )
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
-    """The first lines (ids) of distinct pairs (xs1, xs2, xn, ys1, ys2, yn), a table, whose word sets are similar."""
-    side = lambda p: texts.select(*[F.col(c).alias(p + c) for c in _ID], F.col("line").alias(f"{p}line"))
+def _verified(pairs: DataFrame, words: DataFrame, threshold: float) -> DataFrame:
+    """The first lines (ids) of distinct pairs (xh1, xh2, yh1, yh2), a table, whose sets of words are similar; ``words(h1, h2, w)``."""
+    side = lambda p: words.select(*[F.col(c).alias(p + c) for c in (*_ID, "w")])
     xs, ys = ["x" + c for c in _ID], ["y" + c for c in _ID]
     # the lines that are asked for, before they move
     left = side("x").join(_sent(pairs), xs)
     right = side("y").join(_sent(settle(pairs.select(*ys).distinct())), ys)
-    common = F.size(F.array_intersect(F.expr(words("xline")), F.expr(words("yline"))))
-    ok = left.join(right, ys).where(common * (1 + threshold) + 1e-9 >= (F.col("xn") + F.col("yn")) * threshold)
-    return ok.select(*[F.col("x" + c).alias(c) for c in _ID]).distinct()
+    enough = F.size(F.array_intersect("xw", "yw")) * (1 + threshold) + 1e-9 >= (F.size("xw") + F.size("yw")) * threshold
+    return left.join(right, ys).where(enough).select(*[F.col("x" + c).alias(c) for c in _ID]).distinct()
 
 
 def _pairs(x: DataFrame, y: DataFrame, threshold: float) -> DataFrame:
@@ -107,49 +153,55 @@ def removed(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     docs = docs.select("doc_id", F.col("text").cast("string").alias("text")).where("text is not null")
     table = settle(signatures(docs, threshold))
     at = F.struct("doc_id", "no")
-    copies = table.groupBy("h1", "h2").agg(F.min(at).alias("first"), F.count("*").alias("c")).where("c > 1").drop("c")
+    copies = table.groupBy(*_ID).agg(F.min(at).alias("first"), F.count("*").alias("c")).where("c > 1").drop("c")
     copies = _sent(settle(copies))
-    copied = table.select("doc_id", "no", "h1", "h2").join(copies, ["h1", "h2"]).where(at > F.col("first")).select("doc_id", "no", "h1")
+    copied = table.select("doc_id", "no", *_ID).join(copies, _ID).where(at > F.col("first")).select("doc_id", "no", "h1")
 
     # copies of a line aside, few rows have a prefix word in common, and a row's search ends at its first candidate
-    table = table.join(copies, ["h1", "h2"], "left").where(F.col("first").isNull() | (at <= F.col("first")))
+    table = table.join(copies, _ID, "left").where(F.col("first").isNull() | (at <= F.col("first")))
+    hot = hot_words(table, threshold)
     # columns in the table's order, so that both sides of the join read one exchange
-    rows = table.select("n", "s1", "s2", F.posexplode("prefix").alias("pos", "tok"))
+    rows = _keyed(table, hot, threshold)
     met = rows.alias("x").join(rows.alias("y"), (F.col("x.tok") == F.col("y.tok")) & F.expr(_near(threshold)), "left_semi")
-    met = settle(met.select("x.*").distinct())
-    ids = _sent(settle(met.select(*_ID).distinct()))
-    first = settle(table.select("doc_id", "no", "h1", *_ID).join(ids, _ID).groupBy(*_ID).agg(F.min(F.struct("doc_id", "no", "h1")).alias("at")))
+    met = settle(met.select("x.*"))
+    ids = _sent(settle(met.select("h1").distinct()))
+    first = settle(table.join(ids, "h1", "left_semi").groupBy(*_ID).agg(F.min(at).alias("at")))
+
     wanted = first.groupBy(F.col("at.doc_id").alias("_id")).agg(F.collect_set("at.no").alias("nos"))
     wanted = _sent(settle(wanted))  # lines of one document together, as in its text
-    texts = docs.join(wanted, F.col("doc_id").eqNullSafe(F.col("_id")))
-    texts = texts.select("doc_id", "nos", F.posexplode(F.split("text", "\n")).alias("no", "line")).where("array_contains(nos, no)")
-    texts = texts.select(F.struct("doc_id", "no", F.xxhash64("line").alias("h1")).alias("at"), "line")
-    texts = settle(first.join(texts, "at").dropDuplicates(_ID))
-    met = settle(met.join(first, _ID))
-
-    gone = None
-    for most in (True, True, False):
-        left = met if gone is None else met.join(gone, _ID, "left_anti")
-        if most:
-            # the earliest line of each word, of those that are unmatched
-            lead = left.groupBy("tok").agg(F.min(F.struct("at", *_ID, "pos")).alias("l")).select("tok", "l.*")
-            found = _pairs(left, lead, threshold)
-        else:
-            found = _pairs(left, met, threshold)
-        found = _verified(settle(found), texts, threshold)
-        gone = settle(found if gone is None else gone.unionByName(found).distinct())
-    similar = first.join(gone, _ID).select("at.*")
+    words = docs.join(wanted, F.col("doc_id").eqNullSafe(F.col("_id")))
+    words = words.select("doc_id", F.posexplode(F.split("text", "\n")).alias("no", "line"), "nos").where("array_contains(nos, no)")
+    words = words.select(at.alias("at"), *[F.xxhash64(*x).alias(c) for c, x in zip(_ID, (["line"], [F.lit(7), "line"]))], F.expr(_hashes("line")).alias("w"))
+    words = settle(words.join(first.select("at", *_ID), ["at", *_ID]).select(*_ID, "w").dropDuplicates(_ID))
+
+    met = settle(met.join(_sent(first), "h1"))
+    # the earliest line of each word, then all
+    lead = met.groupBy("tok").agg(F.min(F.struct("at", *_ID, "n", "s1", "s2")).alias("l")).select("tok", "l.*")
+    gone = settle(_verified(settle(_pairs(met, lead, threshold)), words, threshold))
+    left = met.join(_sent(gone), _ID, "left_anti")
+    more = _verified(settle(_pairs(left, met, threshold)), words, threshold)
+    similar = first.join(gone.unionByName(more), _ID, "left_semi").select("at.*", "h1")
     return settle(copied.unionByName(similar).distinct())
 
 
 def dedup(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """``docs``, all columns, without the lines that ``removed`` lists. Row count and order of lines stay; null text stays null."""
+    """``docs``, all columns, without the lines that ``removed`` lists. Row count and order of lines stay; null text stays null.
+
+    A row's line goes if its number and its hash are listed for its doc_id, so rows with one doc_id and different texts don't mix.
+    """
     name = "__tt_lines"
-    keys = F.collect_set(F.xxhash64("no", "h1")).alias(name)
-    gone = _sent(settle(removed(docs, threshold).groupBy(F.col("doc_id").alias("__tt_id")).agg(keys)))
-    both = docs.join(gone, F.col("doc_id").eqNullSafe(F.col("__tt_id")), "left")
-    kept = F.expr(f"array_join(filter(split(text, '\n'), (l, i) -> not array_contains({name}, xxhash64(i, xxhash64(l)))), '\n')")
-    text = F.when(F.col(name).isNull(), F.col("text")).otherwise(kept).alias("text")
+    gone = removed(docs, threshold).groupBy(F.col("doc_id").alias("__tt_id")).agg(F.collect_set(F.struct("no", "h1")).alias(name))
+    both = docs.join(_sent(settle(gone)), F.col("doc_id").eqNullSafe(F.col("__tt_id")), "left")
+    # let(x, f) is f(x) with x worked out once
+    let = lambda x, f: F.get(F.transform(F.array(x), f), 0)
+
+    def without(lines):
+        own = F.array_sort(F.transform(F.filter(name, lambda g: F.xxhash64(F.get(lines, g["no"])) == g["h1"]), lambda g: g["no"]))
+        # true up to each line that goes, then false
+        run = lambda nos: F.transform(nos, lambda v, i: F.array_append(F.array_repeat(F.lit(True), v - F.coalesce(F.get(nos, i - 1), F.lit(-1)) - 1), F.lit(False)))
+        return let(let(own, lambda nos: F.flatten(run(nos))), lambda stays: F.array_join(F.filter(lines, lambda _, i: F.coalesce(F.get(stays, i), F.lit(True))), "\n"))
+
+    text = F.when(F.col(name).isNull(), F.col("text")).otherwise(let(F.split("text", "\n"), without)).alias("text")
     return both.select(*[text if c == "text" else docs[c] for c in docs.columns])
 
 
@@ -161,6 +213,7 @@ def query(spark, sf_dir: str) -> DataFrame:
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """``dedup`` of the documents with the columns of ``docs``; a document that loses all lines stays with an empty text."""
     return dedup(docs)
 
 
