@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 
 import numpy as np
@@ -9,6 +10,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Bytes of text that are split into words at once.
+PIECE = 1 << 20
+_WHITE = re.compile(rb"\s")
+_KEPT: dict = {}
 #: Rows of one Arrow batch. Texts may be long, so a batch is kept to a few MB.
 ARROW_ROWS = 400
 
@@ -16,9 +21,13 @@ ARROW_ROWS = 400
 def scratch(spark: SparkSession) -> str:
     """A fresh folder below ``spark.checkpoint.dir``, which driver and executors share.
 
-    The setting names a shared store on a cluster. Only where it is unset (single-machine tests) is a local one used.
+    The setting names a shared store on a cluster. Only on a single machine may it be unset; then a local folder is used.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints"
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not re.match(r"local(\[|$)", spark.conf.get("spark.master", "local")):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        base = "/tmp/checkpoints"
     return f"{base.rstrip('/')}/tt-{uuid.uuid4().hex}"
 
 
@@ -56,6 +65,26 @@ def slices(lengths: list[int], most: int = 4_000_000):
         yield start, len(lengths)
 
 
+def pieces(text: bytes, most: int = PIECE):
+    """A long text in pieces of about ``most`` bytes that end at white space, so that no word is cut."""
+    at = 0
+    while len(text) - at > most:
+        m = _WHITE.search(text, at + most)
+        if m is None:
+            break
+        yield text[at : m.start()]
+        at = m.start()
+    yield text[at:] if at else text
+
+
+def kept(key, make):
+    """What this worker process keeps under ``key`` from task to task. It keeps things of one operator at a time: others go."""
+    if key not in _KEPT:
+        _KEPT.clear()
+        _KEPT[key] = make()
+    return _KEPT[key]
+
+
 def fold(parent: np.ndarray, u: np.ndarray, v: np.ndarray) -> None:
     """Union the pairs (u, v) into ``parent``, in place. parent maps each item to the smallest item of its class."""
     while u.size:

@@ -25,11 +25,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import settle, small_batches
+from .common import kept, settle, small_batches
 
 #: Characters of a chunk.
 CHUNK = 32_768
-_CACHE, _PAIRS = 450_000, 450_000
+_CACHE, _PAIRS = 300_000, 300_000
 MARK = "▁"
 _NONE, _INF = float("-inf"), float("inf")
 UNIGRAM, BPE = 1, 2
@@ -433,16 +433,9 @@ def boundaries(matrices: list[dict]) -> list[tuple[tuple[int, int], tuple[int, i
     return out[::-1]
 
 
-_CODERS: dict[bytes, Coder] = {}
-
-
 def coder_of(model: bytes) -> Coder:
     """The coder of a model in this worker process; what it has remembered serves the next tasks too."""
-    key = hashlib.sha256(model).digest()
-    if key not in _CODERS:
-        _CODERS.clear()
-        _CODERS[key] = Coder(Vocabulary.load(model))
-    return _CODERS[key]
+    return kept(hashlib.sha256(model).digest(), lambda: Coder(Vocabulary.load(model)))
 
 
 def scan(coder: Coder, text: str, chunk: int) -> bytes:

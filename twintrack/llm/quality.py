@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import read, slices, small_batches, texts
+from .common import PIECE, kept, pieces, read, slices, small_batches, texts
 from .ftrl import Ftrl, probabilities
 from .training import remainder, sample
 
@@ -48,16 +48,35 @@ class Words:
         """(row, feature) of every n-gram of every text, and the words of each row."""
         split = [t.split() if t else [] for t in batch]
         n = np.array([len(w) for w in split], np.int64)
+        return *self.grams(self.codes([w for words in split for w in words]), np.repeat(np.arange(len(batch)), n)), n
+
+    def codes(self, words: list[bytes]) -> np.ndarray:
         get, code = self.cache.get, self.code
-        both = np.fromiter((get(w) or code(w) for words in split for w in words), np.int64, int(n.sum()))
-        row = np.repeat(np.arange(len(batch)), n)
+        return np.fromiter((get(w) or code(w) for w in words), np.int64, len(words))
+
+    def tally(self, text: bytes) -> tuple[np.ndarray, int]:
+        """How often a text of any length has each feature, and its words; a piece of the text at a time."""
+        count, n, last = np.zeros(1 << BITS, np.int64), 0, np.zeros(0, np.int64)
+        for piece in pieces(text):
+            both = self.codes(piece.split())
+            if not both.size:
+                continue
+            # the last word of the piece before, for the pair across the cut
+            for part, sign in ((np.concatenate([last, both]), 1), (last, -1)):
+                count += sign * np.bincount(self.grams(part, np.zeros(part.size, np.int64))[1], minlength=1 << BITS)
+            n, last = n + both.size, both[-1:]
+        return count, n
+
+    @staticmethod
+    def grams(both: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(row, feature) of every n-gram of words that follow each other in a row."""
         word, shape = both >> 31, both & 0x7FFFFFFF
         inner = row[1:] == row[:-1]
         r2 = row[1:][inner]
         w1, w2, s1, s2 = word[:-1][inner], word[1:][inner], shape[:-1][inner], shape[1:][inner]
         again = w1 == w2
         parts = [(row, _mix(word, 1)), (row, _mix(shape, 2)), (r2, _mix(w1 * 31 + w2, 3)), (r2, _mix(s1 * 31 + s2, 4)), (r2[again], _mix(np.zeros(again.sum(), np.int64), 5))]
-        return np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]), n
+        return np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
 
 
 def _mix(h: np.ndarray, channel: int) -> np.ndarray:
@@ -75,9 +94,9 @@ def fit(rows: list[tuple[int, bytes]], epochs: int = EPOCHS) -> tuple[np.ndarray
         return np.zeros(1 << BITS), float(np.log(share / (1 - share)))
     words, x = Words(), []
     for _, text in rows:
-        _, feature, n = words.features([text])
-        at, count = np.unique(feature, return_counts=True)
-        x.append((np.append(at, 1 << BITS), np.append(count * (_SCALE / max(1, n[0])), 1.0)))
+        count, n = words.tally(text)
+        at = np.flatnonzero(count)
+        x.append((np.append(at, 1 << BITS), np.append(count[at] * (_SCALE / max(1, n)), 1.0)))
     model = Ftrl((1 << BITS) + 1, 1, alpha=0.3, l1=2e-2, l2=1e-2).fit(x, y, epochs)
     w = model.weights()[:, 0]
     return w[:-1], float(w[-1])
@@ -92,13 +111,18 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, most_bytes
 def _scores(shared, batches, at: int):
     """(batch, scores) of Arrow batches whose column ``at`` has the texts."""
     w, bias = shared.value
-    words = Words()
+    words = kept("quality", Words)
     for b in batches:
         t = texts(b.column(at))
         out = np.zeros(len(t))
-        for s, e in slices([len(x or b"") for x in t]):
-            row, feature, n = words.features(t[s:e])
-            dot = np.bincount(row, weights=w[feature], minlength=e - s) * (_SCALE / np.maximum(n, 1)) + bias
+        for s, e in slices([len(x or b"") for x in t], PIECE):
+            if e - s == 1 and t[s] and len(t[s]) > PIECE:
+                count, n = words.tally(t[s])
+                dot, n = np.array([count @ w.astype(float)]), np.array([n])
+            else:
+                row, feature, n = words.features(t[s:e])
+                dot = np.bincount(row, weights=w[feature], minlength=e - s)
+            dot = dot * (_SCALE / np.maximum(n, 1)) + bias
             out[s:e] = np.where(n > 0, probabilities(dot[:, None])[:, 0], 0.0)
         yield b, out
 

@@ -9,7 +9,7 @@ arrays. Only a spanning forest of the links leaves a group, so large groups of c
 from __future__ import annotations
 
 from functools import partial
-from itertools import combinations
+from itertools import combinations, islice, tee
 
 import numpy as np
 import pyarrow as pa
@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, fold, settle, small_batches, texts
+from .common import PIECE, connected_components, fold, kept, pieces, settle, small_batches, texts
 
 #: Most fingerprints of one block of a trie node; a fuller node is split into blocks that meet pairwise.
 BLOCK = 65_536
@@ -29,18 +29,23 @@ _STEP = 65_536
 
 def fingerprint(text: bytes | None) -> int:
     """Unsigned 64-bit SimHash of one text: A-Z lower-cased, words split on space and 0x09-0x0D, 3-word shingles with repeats."""
-    words = text.lower().split() if text else []
-    if not words:
-        return 0
-    if len(words) < SHINGLE:
-        grams, n = [b" ".join(words)], 1
+    if text and len(text) > PIECE:
+        # words as they come; a list of all would be far larger than the text
+        a, b, c = tee((w for part in pieces(text) for w in part.lower().split()), 3)
+        grams = map(b" ".join, zip(a, islice(b, 1, None), islice(c, 2, None)))
     else:
-        grams, n = map(b" ".join, zip(words, words[1:], words[2:])), len(words) - SHINGLE + 1
+        words = text.lower().split() if text else []
+        grams = map(b" ".join, zip(words, words[1:], words[2:]))
     hashes = map(partial(xxhash.xxh64_intdigest, seed=42), grams)
-    ones = np.zeros(64, np.int64)
-    for at in range(0, n, _STEP):
-        h = np.fromiter(hashes, np.uint64, min(_STEP, n - at))
+    ones, n = np.zeros(64, np.int64), 0
+    while True:
+        h = np.fromiter(islice(hashes, _STEP), np.uint64)
+        if not h.size:
+            break
+        n += h.size
         ones += np.unpackbits(h.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
+    if not n and text and (words := text.lower().split()):  # a word or two
+        return xxhash.xxh64_intdigest(b" ".join(words), seed=42)
     return int.from_bytes(np.packbits(ones * 2 > n).tobytes(), "big")
 
 
@@ -48,6 +53,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     """(doc_id, fp): fp is the fingerprint as a signed long. Null or empty text: zero. One row per input row."""
 
     def run(batches):
+        kept("simhash", int)
         for b in batches:
             fp = np.array([fingerprint(t) for t in texts(b.column(1))], np.uint64).view(np.int64)
             yield pa.record_batch([b.column(0), pa.array(fp, pa.int64())], ["doc_id", "fp"])
