@@ -286,8 +286,8 @@ def brute_hits(text, items, span=10):
     return len(w), len(hit), len(found), hashlib.sha256(",".join(sorted(found)).encode()).hexdigest(), bool(hit)
 
 
-@pytest.mark.parametrize("block_bytes", [8_000_000, 300])
-def test_decontamination_is_brute_force(spark, block_bytes):
+@pytest.mark.parametrize("bits", [26, 6])
+def test_decontamination_is_brute_force(spark, bits):
     r = random.Random(4)
     w = [f"w{k}" for k in range(12)] + ["É", "naïve", "x1"]
     items = [(k, " ".join(r.choice(w) for _ in range(r.choice([0, 1, 3, 9, 10, 11, 25])))) for k in range(25)] + [(90, None), (91, "... !!")]
@@ -300,7 +300,7 @@ def test_decontamination_is_brute_force(spark, block_bytes):
         texts.append(r.choice([" ", ", ", "\n"]).join(t))
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     bench = spark.createDataFrame(items, "item_id long, text string")
-    got = {x.doc_id: tuple(x)[1:] for x in decontaminate.report(docs, bench, block_bytes=block_bytes).collect()}
+    got = {x.doc_id: tuple(x)[1:] for x in decontaminate.report(docs, bench, bits=bits).collect()}
     assert got == {k: brute_hits(t, items) for k, t in enumerate(texts)}
 
 

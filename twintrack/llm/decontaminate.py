@@ -1,34 +1,36 @@
 """Benchmark decontamination by winnowing.
 
-The word sequence of every text is fingerprinted: of each ``w`` consecutive hashes of ``k`` words the smallest is kept. Two
-texts that share ``k + w - 1`` words in a row keep a common fingerprint, so with k + w - 1 = the window length every shared window
-is found. Fingerprints of documents are joined with those of benchmark windows, and hits are extended to whole windows, compared
-word by word. Benchmark items shorter than a window are one window each, winnowed with w = 1 at their own length.
-
-The benchmark is dealt into blocks of a bounded number of words. Each block is sent to all executors, and the documents are read
-once for each block, so neither the driver nor an executor ever holds more of the benchmark than one block.
+The word sequence of every text is fingerprinted: of the k-gram hashes in each window of words the smallest is kept. A window that
+a document shares with a benchmark item has the same fingerprint in both, so with k-grams and windows of k + w - 1 words every shared
+window is found. Benchmark items shorter than a window are one window each, with k-grams of their own length.
+
+Documents are read once. Their windows whose fingerprint may be one of the benchmark's, by a bitmap of bounded size that all
+executors get, become rows; these are joined with the benchmark's windows by fingerprint and extended to the whole window, compared
+word by word. Hits go back to documents by 128 bits of hash of the text, as equal texts have equal hits. Neither the benchmark nor the
+documents are held by the driver or by one executor.
 """
 
 from __future__ import annotations
 
 import re
 import zlib
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import read, slices, small_batches, texts
+from .common import PIECE, kept, pieces, read, settle, slices, small_batches, texts
 
 #: Window length in words, and the k of the k-gram hashes.
 SPAN, K = 10, 5
-#: Most bytes of benchmark text in a block.
-BLOCK_BYTES = 8_000_000
-#: Columns that ``scan`` adds; a name that tables don't use.
-HITS = ("__tt_n_words", "__tt_spans", "__tt_items")
+#: Most bits of the bitmap of fingerprints, as a power of 2. A larger benchmark lets more rows through to the join.
+BITS = 26
+#: Most bytes of a table that is sent to all executors.
+BROADCAST_BYTES = 64 << 20
+_ROWS = 20_000
 _WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
-_BIG = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
 def words_of(text: bytes | None) -> list[bytes]:
@@ -36,198 +38,234 @@ def words_of(text: bytes | None) -> list[bytes]:
     return _WORD.findall(text.lower()) if text else []
 
 
-def _gram_hash(ids: np.ndarray, k: int) -> np.ndarray:
-    """Hash of the k word numbers from each position; the largest value where an unknown word (0) is among them."""
-    n = ids.size - k + 1
-    if n <= 0:
-        return np.zeros(0, np.uint64)
-    x = ids.astype(np.uint64)
-    h, ok = np.zeros(n, np.uint64), np.ones(n, bool)
-    for i in range(k):
-        part = x[i : i + n]
-        h = (h ^ part) * np.uint64(0x9E3779B97F4A7C15)
+def gram_hashes(words, n: int, k: int) -> np.ndarray:
+    """63-bit hashes of the k words from each position of a sequence of n words."""
+    x = np.fromiter(map(zlib.crc32, words), np.uint64, n)
+    m = n - k + 1
+    h = np.zeros(max(0, m), np.uint64)
+    for i in range(k if m > 0 else 0):
+        h = (h ^ x[i : i + m]) * np.uint64(0x9E3779B97F4A7C15)
         h ^= h >> np.uint64(31)
-        ok &= part != 0
-    return np.where(ok, h >> np.uint64(1), _BIG)
+    return h >> np.uint64(1)
 
 
-def winnow(h: np.ndarray, w: int) -> np.ndarray:
-    """Positions kept: the smallest hash (rightmost of ties) of each window of w hashes; fewer hashes are one window."""
-    if not h.size:
-        return np.zeros(0, np.int64)
-    w = min(w, h.size)
+def smallest(h: np.ndarray, w: int) -> np.ndarray:
+    """Position of the smallest hash (rightmost of ties) of each window of w hashes."""
     n = h.size - w + 1
+    if n <= 0:
+        return np.zeros(0, np.int64)
     best, at = h[:n].copy(), np.arange(n)
     for i in range(1, w):
         nxt = h[i : i + n]
         lower = nxt <= best
         best = np.where(lower, nxt, best)
         at = np.where(lower, np.arange(i, i + n), at)
-    return np.unique(at)
-
-
-class Index:
-    """Windows of a block of benchmark items, by word numbers; item names by window."""
-
-    def __init__(self, items: list[tuple[str | None, bytes]], span: int = SPAN, k: int = K):
-        self.span, self.k = span, min(k, span)
-        self.vocab: dict[bytes, int] = {}
-        self.windows: dict[bytes, int] = {}
-        owners: list[set[int]] = []
-        self.names: list[str | None] = [name for name, _ in items]
-        marks: dict[int, list[np.ndarray]] = {}
-        for item, (_, text) in enumerate(items):
-            found = words_of(text)
-            if not found:
-                continue
-            ids = np.array([self.vocab.setdefault(x, len(self.vocab) + 1) for x in found], np.int32)
-            length = min(span, ids.size)
-            for s in range(ids.size - length + 1):
-                at = self.windows.setdefault(ids[s : s + length].tobytes(), len(owners))
-                if at == len(owners):
-                    owners.append(set())
-                owners[at].add(item)
-            k, w = self.rule(length)
-            h = _gram_hash(ids, k)
-            marks.setdefault(length, []).append(h[winnow(h, w)])
-        self.owners = [np.array(sorted(o)) for o in owners]
-        self.marks = {n: np.unique(np.concatenate(m)) for n, m in marks.items()}
-
-    def rule(self, length: int) -> tuple[int, int]:
-        """(k, w) for windows of that length, k + w - 1 = length."""
-        return (self.k, length - self.k + 1) if length == self.span else (length, 1)
-
-    def hits(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(start, length, window) of every occurrence of a window in the word numbers; 0 is no benchmark word."""
-        starts, lengths, which = [], [], []
-        for length, marks in self.marks.items():
-            k, w = self.rule(length)
-            h = _gram_hash(ids, k)
-            if not h.size:
-                continue
-            kept = winnow(h, w)
-            kept = kept[h[kept] != _BIG]
-            pos = np.searchsorted(marks, h[kept])
-            kept = kept[marks[np.minimum(pos, marks.size - 1)] == h[kept]]
-            # a window that holds the k-gram starts up to length - k words before it
-            cand = (kept[:, None] - np.arange(length - k + 1)[None, :]).ravel()
-            cand = np.unique(cand[(cand >= 0) & (cand <= ids.size - length)])
-            for s in cand.tolist():
-                at = self.windows.get(ids[s : s + length].tobytes())
-                if at is not None:
-                    starts.append(s)
-                    lengths.append(length)
-                    which.append(at)
-        return np.array(starts, np.int64), np.array(lengths, np.int64), np.array(which, np.int64)
-
-
-class _Reader:
-    def __init__(self, index: Index):
-        self.index = index
-
-    def batch(self, rows: list[bytes | None]):
-        """For each text (number of words, hit spans as merged [start, end) pairs, sorted item numbers)."""
-        index, get = self.index, self.index.vocab.get
-        found = [words_of(t) for t in rows]
-        n = np.array([len(f) for f in found], np.int64)
-        # texts one after the other, an unknown word between them
-        ids = np.fromiter((get(x, 0) for f in found for x in (*f, b"")), np.int32, int(n.sum()) + n.size)
-        base = np.cumsum(n + 1) - (n + 1)
-        start, length, window = index.hits(ids)
-        row = np.searchsorted(base, start, "right") - 1
-        order = np.lexsort((start, row))
-        cut = np.searchsorted(row[order], np.arange(n.size + 1))
-        for i in range(n.size):
-            mine = order[cut[i] : cut[i + 1]]
-            if not mine.size:
-                yield int(n[i]), [], []
-                continue
-            s, e = start[mine] - base[i], start[mine] - base[i] + length[mine]
-            reach = np.maximum.accumulate(e)
-            new = np.flatnonzero(np.append(True, s[1:] > reach[:-1]))
-            spans = np.column_stack([s[new], reach[np.append(new[1:] - 1, s.size - 1)]])
-            items = np.unique(np.concatenate([index.owners[w] for w in np.unique(window[mine]).tolist()]))
-            yield int(n[i]), spans.ravel().tolist(), [index.names[k] for k in items.tolist()]
+    return at
+
+
+def winnow(h: np.ndarray, w: int) -> np.ndarray:
+    """Positions kept: the smallest hash of each window of w hashes; fewer hashes are one window."""
+    return np.unique(smallest(h, min(w, h.size))) if h.size else np.zeros(0, np.int64)
+
+
+def rule(length: int, span: int, k: int) -> tuple[int, int]:
+    """(k, w) for windows of that length, k + w - 1 = length."""
+    return (min(k, span), span - min(k, span) + 1) if length == span else (length, 1)
+
 
+def fingerprints(words, n: int, length: int, span: int, k: int) -> np.ndarray:
+    """Fingerprint of the window of ``length`` words from each position of a sequence of n words."""
+    k, w = rule(length, span, k)
+    h = gram_hashes(words, n, k)
+    return h[smallest(h, w)]
 
-def blocks(benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> tuple[DataFrame, int]:
-    """``benchmark(item_id, text)`` with a block number, and how many blocks there are."""
-    total = benchmark.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    count = max(1, -(-total // block_bytes))
-    item = F.col("item_id").cast("string")
-    return benchmark.select(item.alias("item_id"), "text", F.expr(f"pmod(xxhash64(item_id, text), {count})").alias("block")), count
 
+def _place(fp: np.ndarray, length: int, bits: int) -> np.ndarray:
+    """Bit of the bitmap of fingerprints of windows of that length."""
+    return ((fp ^ np.uint64(length)) * np.uint64(0xC2B2AE3D27D4EB4F)) >> np.uint64(64 - bits)
 
-def index_block(benchmark: DataFrame, block: int, span: int, k: int) -> Index:
-    rows = benchmark.where((F.col("block") == block) & F.col("text").isNotNull()).select("item_id", "text").collect()
-    return Index(sorted({(r.item_id, r.text.encode()) for r in rows}, key=lambda r: (r[0] is None, r[0] or "", r[1])), span, k)
 
+def benchmark_windows(benchmark: DataFrame, span: int = SPAN, k: int = K) -> DataFrame:
+    """(length, fp, win, item), distinct: every window of ``benchmark(item_id, text)`` as its words, and the id as text."""
 
-def scan(docs: DataFrame, benchmark: DataFrame, span: int = SPAN, k: int = K, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """The rows of ``docs`` with the columns HITS added: number of words, hit words as flattened [start, end) pairs, items.
+    def run(batches):
+        for b in batches:
+            for item, text in zip(b.column(0).to_pylist(), texts(b.column(1))):
+                words = words_of(text)
+                length = min(span, len(words))
+                fp = fingerprints(words, len(words), length, span, k) if words else []
+                for s in range(0, len(fp), _ROWS):
+                    part = [b" ".join(words[i : i + length]) for i in range(s, min(len(fp), s + _ROWS))]
+                    yield pa.record_batch([pa.array([length] * len(part), pa.int32()), pa.array(fp[s : s + _ROWS].astype(np.int64)), pa.array(part).cast(pa.string()), pa.array([item] * len(part), pa.string())], ["length", "fp", "win", "item"])
+
+    small_batches(benchmark.sparkSession)
+    some = benchmark.select(F.col("item_id").cast("string"), F.col("text").cast("string")).where("text is not null").distinct()
+    return some.mapInArrow(run, "length int, fp long, win string, item string").distinct()
+
+
+def bitmap(windows: DataFrame, most: int = BITS) -> tuple[np.ndarray, list[int]]:
+    """(bitmap of the fingerprints of ``benchmark_windows``, lengths of windows); about 32 bits for each, 2^most at most."""
+    known = windows.select("length", "fp").distinct()
+    n = known.count()
+    bits = int(np.clip(np.ceil(np.log2(max(1, n) * 32)), 6, max(6, most)))
+
+    def run(batches):
+        for b in batches:
+            length, fp = b.column(0).to_numpy(), b.column(1).to_numpy().view(np.uint64)
+            at = np.concatenate([_place(fp[length == x], x, bits) for x in np.unique(length).tolist()] or [np.zeros(0, np.uint64)])
+            yield pa.record_batch([pa.array((at >> np.uint64(6)).astype(np.int64)), pa.array((np.uint64(1) << (at & np.uint64(63))).view(np.int64))], ["k", "v"])
+
+    words = known.mapInArrow(run, "k long, v long").groupBy("k").agg(F.bit_or("v").alias("v")).collect()  # 2^(most - 6) rows at most
+    out = np.zeros(1 << (bits - 6), np.int64)
+    for r in words:
+        out[r.k] = r.v
+    return out.view(np.uint64), sorted(r.length for r in windows.select("length").distinct().collect())  # span values at most
+
+
+class Finder:
+    """Windows of texts whose fingerprints may be the benchmark's."""
+
+    def __init__(self, filled: np.ndarray, lengths: list[int], span: int, k: int):
+        self.filled, self.lengths, self.span, self.k = filled, lengths, span, k
+        self.bits = int(filled.size).bit_length() + 5
+
+    def maybe(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(start, length, fp) of such windows in a sequence of words."""
+        out = []
+        for length in self.lengths:
+            if length > len(words):
+                continue
+            fp = fingerprints(words, len(words), length, self.span, self.k)
+            at = _place(fp, length, self.bits)
+            s = np.flatnonzero((self.filled[at >> np.uint64(6)] >> (at & np.uint64(63))) & np.uint64(1))
+            out.append((s, np.full(s.size, length), fp[s]))
+        return tuple(np.concatenate(x) for x in zip(*out)) if out else (np.zeros(0, np.int64),) * 3
+
+    def texts(self, rows: list[bytes | None]):
+        """(words of each text, (row, start, length, fp, words) of its windows) of texts of about PIECE bytes together."""
+        found = [words_of(t) for t in rows]
+        n = np.array([len(f) for f in found], np.int64)
+        flat = list(chain.from_iterable(found))
+        end = np.cumsum(n)
+        start, length, fp = self.maybe(flat)
+        row = np.searchsorted(end, start, "right")
+        own = start + length <= end[row] if start.size else np.zeros(0, bool)  # not from one text into the next
+        hits = [(r, s - end[r] + n[r], z, f, b" ".join(flat[s : s + z])) for r, s, z, f in zip(row[own].tolist(), start[own].tolist(), length[own].tolist(), fp[own].tolist())]
+        return n.tolist(), hits
+
+    def long(self, text: bytes):
+        """The same for one text of any length, a piece at a time: (words so far, windows)."""
+        carry, total = [], 0
+        for piece in pieces(text):
+            words = carry + words_of(piece)
+            base = total - len(carry)
+            total = base + len(words)
+            start, length, fp = self.maybe(words)
+            for s in range(0, max(1, start.size), _ROWS):
+                part = zip(start[s : s + _ROWS].tolist(), length[s : s + _ROWS].tolist(), fp[s : s + _ROWS].tolist())
+                yield total, [(0, base + a, z, f, b" ".join(words[a : a + z])) for a, z, f in part]
+            carry = words[max(0, len(words) - self.span + 1) :] if self.span > 1 else []
+
+
+def _candidates(docs: DataFrame, finder: Finder) -> DataFrame:
+    """A row (doc_id, t1, t2, n_words) for each row of ``docs``, and rows (t1, t2, start, length, fp, win) of its windows that may be the benchmark's."""
+    shared = docs.sparkSession.sparkContext.broadcast(finder)  # a bitmap of 2^BITS bits at most
+    names = ["doc_id", "t1", "t2", "n_words", "start", "length", "fp", "win"]
+
+    def run(batches):
+        kept("decontaminate", int)
+        find = shared.value
+        for b in batches:
+            doc, t1, t2, text = b.column(0), b.column(1), b.column(2), texts(b.column(3))
+
+            def rows(at, n_words, hits=()):
+                """One batch; without hits the rows of the documents."""
+                at = pa.array(at, pa.int64())
+                ids = pa.nulls(len(at), doc.type) if n_words is None else doc.take(at)
+                n = pa.nulls(len(at), pa.int64()) if n_words is None else pa.array(n_words, pa.int64())
+                more = list(zip(*hits)) or [[None] * len(at)] * 4
+                kinds = (pa.int64(), pa.int32(), pa.int64())
+                return pa.record_batch([ids, t1.take(at), t2.take(at), n, *[pa.array(x, kind) for x, kind in zip(more, kinds)], pa.array(more[3], pa.binary()).cast(pa.string())], names)
+
+            for s, e in slices([len(x or b"") for x in text], PIECE):
+                if e - s == 1 and len(text[s] or b"") > PIECE:
+                    n = 0
+                    for n, hits in find.long(text[s]):
+                        if hits:
+                            yield rows([s] * len(hits), None, [h[1:] for h in hits])
+                    yield rows([s], [n])
+                    continue
+                n, hits = find.texts(text[s:e])
+                yield rows(range(s, e), n)
+                for k in range(0, len(hits), _ROWS):
+                    yield rows([s + h[0] for h in hits[k : k + _ROWS]], None, [h[1:] for h in hits[k : k + _ROWS]])
+
+    small_batches(docs.sparkSession)
+    kind = dict(docs.dtypes)["doc_id"]
+    text = F.col("text").cast("string")
+    some = docs.select("doc_id", F.xxhash64(text).alias("t1"), F.xxhash64(F.lit(7), text).alias("t2"), text.alias("text"))
+    return some.mapInArrow(run, f"doc_id {kind}, t1 long, t2 long, n_words long, start long, length int, fp long, win string")
+
+
+def _sent(df: DataFrame, *sizes) -> DataFrame:
+    """``df``, a table read back, with a broadcast hint if its counted bytes are within the bound; ``sizes``: bytes of a row's texts."""
+    got = df.agg(F.count("*").alias("n"), *[F.sum(x) for x in sizes]).first()
+    return F.broadcast(df) if got.n * 16 * len(df.columns) + sum(x or 0 for x in got[1:]) <= BROADCAST_BYTES else df
+
+
+def hits(docs: DataFrame, benchmark: DataFrame, span: int = SPAN, k: int = K, bits: int = BITS) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Three tables: (doc_id, t1, t2, n_words) of each row of ``docs(doc_id, text)``; (t1, t2, start, length, win), the hit windows of each text;
+    (win, item), the ids of the items with a window.
 
     ``benchmark(item_id, text)``: an item with words but fewer than ``span`` is one window. Items without words or text hit
-    nothing; an item with a null id hits words but is not listed. Null and wordless documents have no words. An empty
-    benchmark hits nothing. A column of ``docs`` named like an added one is replaced.
+    nothing; an item with a null id hits words but is not listed; rows with one id are one item. Null and wordless documents
+    have no words. An empty benchmark hits nothing. t1 and t2 are hashes of the text.
     """
-    spark = docs.sparkSession
-    small_batches(spark)
-    docs = docs.drop(*HITS)
-    dealt, count = blocks(benchmark, block_bytes)
-    at = docs.columns.index("text")
-    schema = f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in docs.schema)}, {HITS[0]} long, {HITS[1]} array<long>, {HITS[2]} array<string>"
-    result = None
-    for block in range(count):
-        shared = spark.sparkContext.broadcast(index_block(dealt, block, span, k))  # block_bytes of text at most
-
-        def run(batches, shared=shared):
-            reader = _Reader(shared.value)
-            for b in batches:
-                t = texts(b.column(at))
-                got = [x for s, e in slices([len(x or b"") for x in t]) for x in reader.batch(t[s:e])]
-                more = [pa.array([x[0] for x in got], pa.int64()), pa.array([x[1] for x in got], pa.list_(pa.int64())), pa.array([[i for i in x[2] if i is not None] for x in got], pa.list_(pa.string()))]
-                yield pa.record_batch([*b.columns, *more], [*b.schema.names, *HITS])
-
-        part = docs.mapInArrow(run, schema)
-        result = part if result is None else _merge(result, part, docs)
-    return result
-
-
-def _merge(a: DataFrame, b: DataFrame, docs: DataFrame) -> DataFrame:
-    """Both blocks' hits of each document row; equal rows of ``docs`` have equal hits, so they may meet as a group and be spread again."""
-    keep = docs.columns
-    key = F.xxhash64(*[F.col(f"`{c}`").cast("string") for c in keep if c != "text"], F.md5("text"), F.xxhash64("text"))
-    left = a.withColumn("__tt_key", key)
-    right = b.select(key.alias("__tt_key"), F.col(HITS[1]).alias("__tt_s"), F.col(HITS[2]).alias("__tt_i")).where("size(__tt_s) > 0").dropDuplicates(["__tt_key"])
-    both = left.join(right, "__tt_key", "left")
-    spans = F.when(F.col("__tt_s").isNull(), F.col(HITS[1])).otherwise(F.concat(HITS[1], "__tt_s"))
-    items = F.when(F.col("__tt_i").isNull(), F.col(HITS[2])).otherwise(F.array_union(HITS[2], "__tt_i"))
-    return both.select(*[F.col(f"`{c}`") for c in keep], HITS[0], spans.alias(HITS[1]), items.alias(HITS[2]))
+    known = settle(benchmark_windows(benchmark, span, k))
+    found = settle(_candidates(docs, Finder(*bitmap(known, bits), span, k)))
+    windows = known.select("length", "fp", "win").distinct()
+    windows = _sent(settle(windows), F.octet_length("win"))
+    real = settle(found.where("start is not null").drop("doc_id", "n_words").join(windows, ["fp", "length", "win"], "left_semi").select("t1", "t2", "start", "length", "win").distinct())
+    return found.where("start is null").select("doc_id", "t1", "t2", "n_words"), real, known.where("item is not null").select("win", "item").distinct()
 
 
 def _covered(spans):
-    """Words that flattened [start, end) pairs cover; pairs of several blocks may overlap."""
-    pairs = F.sort_array(F.transform(F.filter(F.sequence(F.lit(0), F.size(spans) - 1), lambda i: i % 2 == 0), lambda i: F.struct(F.get(spans, i).alias("s"), F.get(spans, i + 1).alias("e"))))
+    """Words that an array of (start, end) covers."""
     zero = F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("end"))
     step = lambda acc, p: F.struct((acc["n"] + F.greatest(F.lit(0).cast("long"), p["e"] - F.greatest(p["s"], acc["end"]))).alias("n"), F.greatest(acc["end"], p["e"]).alias("end"))
-    return F.when(F.size(spans) == 0, F.lit(0).cast("long")).otherwise(F.aggregate(pairs, zero, step)["n"])
+    return F.aggregate(F.sort_array(spans), zero, step)["n"]
 
 
-def report(docs: DataFrame, benchmark: DataFrame, span: int = SPAN, k: int = K, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """(doc_id, n_words, n_hit, n_items, items_sha256, contaminated), one row per row of ``docs``; see ``scan``."""
-    got = scan(docs.select("doc_id", F.col("text").cast("string")), benchmark, span, k, block_bytes)
-    items = F.array_sort(HITS[2])
-    got = got.select("doc_id", F.col(HITS[0]).alias("n_words"), _covered(F.col(HITS[1])).alias("n_hit"), F.size(HITS[2]).cast("long").alias("n_items"), F.sha2(F.array_join(items, ","), 256).alias("items_sha256"))
-    return got.withColumn("contaminated", F.col("n_hit") > 0)
+def report(docs: DataFrame, benchmark: DataFrame, span: int = SPAN, k: int = K, bits: int = BITS) -> DataFrame:
+    """(doc_id, n_words, n_hit, n_items, items_sha256, contaminated), one row per row of ``docs``; see ``hits``.
+
+    Repeated rows stay; columns other than doc_id and text are not read; an empty table gives no rows.
+    """
+    rows, real, owners = hits(docs.select("doc_id", "text"), benchmark, span, k, bits)
+    spans = real.groupBy("t1", "t2").agg(_covered(F.collect_set(F.struct(F.col("start").alias("s"), (F.col("start") + F.col("length")).alias("e")))).alias("n_hit"))
+    items = real.select("t1", "t2", "win").join(owners, "win").select("t1", "t2", "item").distinct()
+    items = items.groupBy("t1", "t2").agg(F.count("*").alias("n_items"), F.sha2(F.array_join(F.sort_array(F.collect_list("item")), ","), 256).alias("items_sha256"))
+    got = rows.join(_sent(settle(spans.join(items, ["t1", "t2"], "left")), F.lit(64)), ["t1", "t2"], "left")
+    none = F.lit(0).cast("long")
+    return got.select("doc_id", "n_words", F.coalesce("n_hit", none).alias("n_hit"), F.coalesce("n_items", none).alias("n_items"), F.coalesce("items_sha256", F.sha2(F.lit(""), 256)).alias("items_sha256"), (F.coalesce("n_hit", none) > 0).alias("contaminated"))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
     return report(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
+def clean(docs: DataFrame, benchmark: DataFrame, span: int = SPAN, k: int = K) -> DataFrame:
+    """The rows of ``docs``, all columns, without a window of a benchmark item; see ``hits``."""
+    _, real, _ = hits(docs.select("doc_id", "text"), benchmark, span, k)
+    bad = settle(real.select(F.col("t1").alias("__tt_1"), F.col("t2").alias("__tt_2")).distinct())
+    text = F.col("text").cast("string")
+    same = (F.xxhash64(text) == F.col("__tt_1")) & (F.xxhash64(F.lit(7), text) == F.col("__tt_2"))
+    return docs.join(_sent(bad), same, "left_anti")
+
+
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a window of a benchmark item, with the columns of ``docs``."""
-    return scan(docs, read(spark, sf_dir, "benchmark")).where(F.size(HITS[1]) == 0).select(*[f"`{c}`" for c in docs.columns])
+    return clean(docs, read(spark, sf_dir, "benchmark"))
 
 
 ORACLE = r"""
