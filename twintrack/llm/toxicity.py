@@ -4,8 +4,8 @@ A word is the mean of the embeddings of its character n-grams (3 to 5 characters
 hashed to a bucket, so a misspelling shares most of its vectors with the word it stands for. A window of 8 words is the mean
 of its words; the softmax reads that mean. Labels are of whole documents, so training goes in two steps: first every window
 has its document's label, then the windows of a toxic document that look cleanest are left out and the model is fitted on.
-A document's score is calibrated from the logits of its most toxic window and of the bags of its most toxic words, so it does
-not fade with the document's length.
+A document's score is calibrated from the softmax's logits for its most toxic window and for the bags of its most toxic words, so
+it does not fade with the document's length. The calibration is fitted on rows held back from the fit.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import read, slices, small_batches, texts
+from .common import kept, read, slices, small_batches, texts
 from .training import remainder, sample
 
 BITS, DIM, WINDOW = 16, 12, 8
@@ -27,7 +27,9 @@ TRAIN_ROWS, TRAIN_BYTES = 2000, 8_000_000
 EPOCHS, RATE, DECAY = (2, 2, 2), 0.3, 2e-3
 #: An n-gram counts if this many documents of the sample have it.
 LEAST_DOCS = 4
-_CACHE, _PART = 400_000, 20_000
+#: One in so many sampled documents is held back for the calibration, if that gives ENOUGH of each class.
+HOLD, ENOUGH = 4, 10
+_CACHE, _PART = 300_000, 20_000
 _PUNCTUATION = "".join(c for c in map(chr, range(33, 127)) if not c.isalnum()) + "\u00a1\u00bf\u00ab\u00bb\u2018\u2019\u201c\u201d\u2026"
 
 
@@ -187,6 +189,10 @@ def fit(rows: list[tuple[int, bytes]], seed: int = 7) -> Model:
     if len(set(y.tolist())) < 2:
         share = (y.sum() + 1) / (len(y) + 2)
         return Model(np.zeros(BUCKETS), shift=float(np.log(share / (1 - share))))
+    held = np.array([zlib.crc32(text) % HOLD == 0 for _, text in rows])
+    if min((y[held] == 0).sum(), (y[held] == 1).sum(), (y[~held] == 0).sum(), (y[~held] == 1).sum()) < ENOUGH:
+        held = np.zeros(len(y), bool)
+    every_row, rows = rows, [r for r, h in zip(rows, held) if not h]
     t = _Trainer(rows, seed)
     every = np.arange(t.y.size)
     for step, epochs in enumerate(EPOCHS):
@@ -202,7 +208,8 @@ def fit(rows: list[tuple[int, bytes]], seed: int = 7) -> Model:
             t.epoch(t.rng.permutation(use))
     gain, bias = t.gain()
     model = Model(gain.astype(np.float32).astype(float), bias)
-    model.scale, model.shift = _calibrate(model.peaks([r[1] for r in rows], {}), y)
+    known = [k for k, h in enumerate(held) if h] or range(len(every_row))
+    model.scale, model.shift = _calibrate(model.peaks([every_row[k][1] for k in known], {}), y[list(known)])
     return model
 
 
@@ -237,6 +244,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     shared = spark.sparkContext.broadcast(model)  # 2^16 numbers
 
     def run(batches):
+        kept("toxicity", int)
         m, cache = shared.value, {}
         for b in batches:
             t = texts(b.column(1))
