@@ -535,3 +535,24 @@ def test_coding_edge_cases(edge, nothing, chunk):
     assert piececoding.encode(nothing, chunk=chunk).count() == 0
     last = piececoding.stage(None, edge, "")
     assert last.where("round_trip").count() == len(ROWS)
+
+
+def test_documents_of_many_chunks_and_of_one(spark):
+    texts = [sentence(k, n) for k, n in enumerate((1, 3, 20, 90, 250))] + ["x" * 700, "日本" * 300]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.ids for r in piececoding.encode(docs, chunk=40).collect()}
+    assert [got[k] for k in range(len(texts))] == library(texts)
+
+
+def test_links_beyond_a_depth_of_twelve(spark):
+    r = np.random.default_rng(8)
+    v = [int(x) for x in r.integers(-(2**63), 2**63 - 1, 500)]
+    v += [(x ^ (1 << 62) ^ (1 << 5)) if k % 2 else x ^ (1 << 51) for k, x in enumerate(v[:60])]
+    forest = simhash.link_forest(spark.createDataFrame([(x,) for x in v], "fp long"), 2, block=1)
+    got = dict(ids(common.connected_components(forest), "node", "root"))
+    u = [x % 2**64 for x in v]
+    pairs = [(i, j) for i in range(len(u)) for j in range(i) if (u[i] ^ u[j]).bit_count() <= 2]
+    parent = np.arange(len(u))
+    common.fold(parent, np.array([p[0] for p in pairs]), np.array([p[1] for p in pairs]))
+    same = lambda root: {frozenset(k for k in range(len(v)) if root(k) == x) for x in {root(k) for k in range(len(v))}}
+    assert same(lambda k: got.get(v[k], v[k])) == same(lambda k: int(parent[k]))

@@ -5,8 +5,8 @@ pieces' scores. A byte-pair model allows exactly the paths whose neighbouring pi
 their own (weight 0, others minus infinity); there is one such path, the one that merging by score gives, which a plain sum of
 scores would miss. A chunk's transfer matrix has the best weight from each state at its start to each state at its end. A state is
 how many characters the last piece reaches over the boundary, and for byte-pair models which piece that is. The matrices of a
-document are multiplied in max-plus algebra, which is associative; from the products the state at each boundary of the best
-path follows, and then each chunk is traced back on its own.
+document are multiplied in max-plus algebra, which is associative: neighbours in rounds, until one is left. Down the same tree the best
+state between two neighbours follows from the states at their outer ends, and then each chunk is traced back on its own.
 
 In the lattice a piece can't pass the start of a word (a space mark after another character) if no piece of the vocabulary has one
 inside, so there all states meet in one, and words are solved once and remembered. Documents of at most CHUNK characters are a
@@ -412,25 +412,35 @@ def _row(matrix: dict, state: tuple[int, int]) -> dict:
     return next((r for s, r in matrix.items() if s[0] == state[0]), {})
 
 
+def ends(matrix: dict) -> tuple[tuple[int, int], tuple[int, int]]:
+    """(enter, leave) of a whole text on the best path."""
+    start = next(iter(matrix))
+    return start, max((s for s in matrix[start] if s[0] == 0), key=matrix[start].get)
+
+
+def midway(a: dict, b: dict, enter: tuple[int, int], leave: tuple[int, int]) -> tuple[int, int]:
+    """The state between two neighbours on the best path from ``enter`` to ``leave``."""
+    row = _row(a, enter)
+    return max((m for m in row if leave in _row(b, m)), key=lambda m: row[m] + _row(b, m)[leave])
+
+
 def boundaries(matrices: list[dict]) -> list[tuple[tuple[int, int], tuple[int, int]]]:
-    """(enter, leave) of each chunk on the best path, by prefix products forward and choice backward."""
-    prefix, acc = [], None
-    for m in matrices:
-        acc = m if acc is None else product(acc, m)
-        prefix.append(acc)
-    start = next(iter(matrices[0]))
-    state = max((s for s in prefix[-1][start] if s[0] == 0), key=lambda s: prefix[-1][start][s])
-    out = []
-    for c in range(len(matrices) - 1, -1, -1):
-        leave = state
-        if c == 0:
-            enter = start
-        else:
-            before = prefix[c - 1][start]
-            enter = max((s for s in before if leave in _row(matrices[c], s)), key=lambda s: before[s] + _row(matrices[c], s)[leave])
-        out.append((enter, leave))
-        state = enter
-    return out[::-1]
+    """(enter, leave) of each chunk on the best path, up and down the tree of products."""
+    levels = [matrices]
+    while len(levels[-1]) > 1:
+        m = levels[-1]
+        levels.append([product(m[k], m[k + 1]) if k + 1 < len(m) else m[k] for k in range(0, len(m), 2)])
+    ways = [ends(levels[-1][0])]
+    for below in levels[-2::-1]:
+        down = []
+        for k, (enter, leave) in enumerate(ways):
+            if 2 * k + 1 < len(below):
+                m = midway(below[2 * k], below[2 * k + 1], enter, leave)
+                down += [(enter, m), (m, leave)]
+            else:
+                down.append((enter, leave))
+        ways = down
+    return ways
 
 
 def coder_of(model: bytes) -> Coder:
@@ -465,6 +475,72 @@ def _lists(parts: list[bytes | None]) -> pa.Array:
     return pa.ListArray.from_arrays(offsets, flat, mask=pa.array([p is None for p in parts]))
 
 
+_MATRIX = ["i0", "i1", "j0", "j1", "w"]
+_MATRICES = "__tt_giant long, c int, i0 array<int>, i1 array<int>, j0 array<int>, j1 array<int>, w array<double>"
+_WAYS = ["__tt_giant", "c", "e0", "e1", "l0", "l1"]
+
+
+def _packed(key: int, c: int, m: dict) -> pa.RecordBatch:
+    """A matrix as a row."""
+    flat = [(*i, *j, w) for i, row in m.items() for j, w in row.items()]
+    cols = list(zip(*flat)) if flat else [[]] * 5
+    return pa.record_batch([pa.array([key], pa.int64()), pa.array([c], pa.int32()), *[pa.array([list(x)], pa.list_(pa.int32())) for x in cols[:4]], pa.array([list(cols[4])], pa.list_(pa.float64()))], ["__tt_giant", "c", *_MATRIX])
+
+
+def _unpacked(row: dict, side: str = "") -> dict | None:
+    """The matrix of a row; null is none."""
+    if row[f"{side}w"] is None:
+        return None
+    m: dict = {}
+    for i0, i1, j0, j1, w in zip(*(row[f"{side}{c}"] for c in _MATRIX)):
+        m.setdefault((i0, i1), {})[j0, j1] = w
+    return m
+
+
+def _ways(level: DataFrame) -> DataFrame:
+    """(__tt_giant, c, e0, e1, l0, l1): states at the ends of each chunk, from the matrices of the chunks, a table.
+
+    Neighbours are joined and multiplied, round after round; then the ways go down the tables of neighbours. The rounds are the
+    logarithm of the chunks of the longest document, and a task never has more than a few matrices at once.
+    """
+
+    def multiply(batches):
+        for b in batches:
+            for r in b.to_pylist():
+                m, right = _unpacked(r, "a_"), _unpacked(r, "b_")
+                yield _packed(r["__tt_giant"], r["c"], m if right is None else product(m, right))
+
+    def rows(made):
+        return pa.record_batch([pa.array(x, kind) for x, kind in zip(list(zip(*made)) or [[]] * 6, (pa.int64(), *[pa.int32()] * 5))], _WAYS)
+
+    def root(batches):
+        for b in batches:
+            yield rows([(r["__tt_giant"], 0, *e, *x) for r in b.to_pylist() for e, x in [ends(_unpacked(r))]])
+
+    def descend(batches):
+        for b in batches:
+            made = []
+            for r in b.to_pylist():
+                key, c, enter, leave, right = r["__tt_giant"], 2 * r["c"], (r["e0"], r["e1"]), (r["l0"], r["l1"]), _unpacked(r, "b_")
+                if right is None:
+                    made.append((key, c, *enter, *leave))
+                else:
+                    m = midway(_unpacked(r, "a_"), right, enter, leave)
+                    made += [(key, c, *enter, *m), (key, c + 1, *m, *leave)]
+            yield rows(made)
+
+    half = lambda odd, side: level.where(F.col("c") % 2 == odd).select("__tt_giant", F.expr("cast(c div 2 as int)").alias("c"), *[F.col(x).alias(f"{side}{x}") for x in _MATRIX])
+    neighbours = []
+    while (level.agg(F.max("c")).first()[0] or 0) > 0:
+        neighbours.append(settle(half(0, "a_").join(half(1, "b_"), ["__tt_giant", "c"], "left")))
+        level = settle(neighbours[-1].mapInArrow(multiply, _MATRICES))
+    schema = "__tt_giant long, c int, e0 int, e1 int, l0 int, l1 int"
+    ways = level.mapInArrow(root, schema)
+    for pair in neighbours[::-1]:
+        ways = settle(pair.join(ways, ["__tt_giant", "c"]).mapInArrow(descend, schema))
+    return ways
+
+
 def encode(docs: DataFrame, model: str | None = None, chunk: int = CHUNK, decoded: str | None = None) -> DataFrame:
     """``docs``, all columns, with ``ids``, the piece ids of ``text``. A null text has null ids, an empty text none.
 
@@ -509,25 +585,9 @@ def encode(docs: DataFrame, model: str | None = None, chunk: int = CHUNK, decode
         coder = coder_of(shared.value)
         for b in batches:
             for key, c, part, a, n in zip(*(x.to_pylist() for x in b.columns)):
-                m = coder.transfer(part, a, a + n)
-                flat = [(*i, *j, w) for i, row in m.items() for j, w in row.items()]
-                cols = list(zip(*flat)) if flat else [[]] * 5
-                yield pa.record_batch([pa.array([key], pa.int64()), pa.array([c], pa.int32()), *[pa.array([list(x)], pa.list_(pa.int32())) for x in cols[:4]], pa.array([list(cols[4])], pa.list_(pa.float64()))], ["__tt_giant", "c", "i0", "i1", "j0", "j1", "w"])
-
-    def combine(table: pa.Table) -> pa.Table:
-        rows = sorted(table.to_pylist(), key=lambda r: r["c"])
-        ms = []
-        for r in rows:
-            m: dict = {}
-            for i0, i1, j0, j1, w in zip(r["i0"], r["i1"], r["j0"], r["j1"], r["w"]):
-                m.setdefault((i0, i1), {})[j0, j1] = w
-            ms.append(m)
-        ways = boundaries(ms)
-        cols = [[r["__tt_giant"] for r in rows], [r["c"] for r in rows], *([x[p][k] for x in ways] for p in (0, 1) for k in (0, 1))]
-        return pa.table([pa.array(cols[0], pa.int64()), *[pa.array(c, pa.int32()) for c in cols[1:]]], ["__tt_giant", "c", "e0", "e1", "l0", "l1"])
-
-    ways = chunks.mapInArrow(matrices, "__tt_giant long, c int, i0 array<int>, i1 array<int>, j0 array<int>, j1 array<int>, w array<double>")
-    ways = ways.groupBy("__tt_giant").applyInArrow(combine, "__tt_giant long, c int, e0 int, e1 int, l0 int, l1 int")
+                yield _packed(key, c, coder.transfer(part, a, a + n))
+
+    ways = _ways(settle(chunks.mapInArrow(matrices, _MATRICES)))
 
     def traced(batches):
         coder = coder_of(shared.value)
@@ -536,7 +596,7 @@ def encode(docs: DataFrame, model: str | None = None, chunk: int = CHUNK, decode
             ids = [coder.path(p, a, a + n, (e0, e1), (l0, l1)) for p, a, n, e0, e1, l0, l1 in zip(*(col[x] for x in ("part", "a", "n", "e0", "e1", "l0", "l1")))]
             yield pa.record_batch([pa.array(col["__tt_giant"], pa.int64()), pa.array(col["c"], pa.int32()), _lists(ids)], ["__tt_giant", "c", "ids"])
 
-    parts = settle(chunks.join(settle(ways), ["__tt_giant", "c"]).mapInArrow(traced, "__tt_giant long, c int, ids array<int>"))
+    parts = settle(chunks.join(ways, ["__tt_giant", "c"]).mapInArrow(traced, "__tt_giant long, c int, ids array<int>"))
     joined = parts.groupBy("__tt_giant").agg(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("c", "ids"))), lambda x: x["ids"])).alias("ids"))
     long = giants.join(joined, "__tt_giant").select(*names, "ids")
     return done.unionByName(decode(long, model, decoded) if decoded else long)
