@@ -21,6 +21,8 @@ from .common import PIECE, connected_components, fold, kept, pieces, settle, sma
 
 #: Most fingerprints of one block of a trie node; a fuller node is split into blocks that meet pairwise.
 BLOCK = 65_536
+#: Most rows (two numbers) of the table of nodes that is sent to all executors.
+BROADCAST_ROWS = 2_000_000
 #: Node pairs expanded at once, and the product of sizes at which a node pair is compared directly.
 FRONTIER, LEAF = 200_000, 48
 SHINGLE = 3
@@ -132,17 +134,15 @@ def _split(v: np.ndarray, lo: np.ndarray, hi: np.ndarray, bit: int) -> np.ndarra
 def link_forest(fps: DataFrame, budget: int, block: int = BLOCK) -> DataFrame:
     """(a, b): a spanning forest of the links among the distinct longs ``fps(fp)`` at ``budget`` or fewer differing bits."""
     spark = fps.sparkSession
-    n = fps.count()
-    depth = int(np.clip(np.ceil(np.log2(max(n, 1) / block)) + 3, 3, 12))
-    # at most 2^12 nodes, so their counts are small
-    path = F.shiftrightunsigned("fp", 64 - depth).cast("int")
-    full = {r.p: -(-r.n // block) for r in fps.groupBy(path.alias("p")).agg(F.count("*").alias("n")).collect()}
-    ways = F.array(*[F.lit(full.get(p, 0)) for p in range(1 << depth)])
-    masks = [sum(1 << k for k in c) for w in range(budget + 1) for c in combinations(range(depth), w) if w <= depth]
-    rows = fps.withColumn("p", path).withColumn("w", F.get(ways, F.col("p")))
-    rows = rows.withColumn("s", F.expr("pmod(xxhash64(fp), w)").cast("int"))
-    rows = rows.withColumn("q", F.explode(F.transform(F.array(*map(F.lit, masks)), lambda m: F.col("p").bitwiseXOR(m))))
-    rows = rows.withColumn("v", F.get(ways, F.col("q"))).where("v > 0")
+    depth = int(np.clip(np.ceil(np.log2(max(fps.count(), 1) / block)) + 3, 3, 60))
+    path = F.shiftrightunsigned("fp", 64 - depth)
+    nodes = settle(fps.groupBy(path.alias("p")).agg(F.ceil(F.count("*") / block).cast("int").alias("w")))
+    nodes = F.broadcast(nodes) if nodes.count() <= BROADCAST_ROWS else nodes
+    masks = [sum(1 << k for k in c) for w in range(budget + 1) for c in combinations(range(depth), w)]
+    rows = fps.withColumn("p", path).join(nodes, "p").withColumn("s", F.expr("pmod(xxhash64(fp), w)").cast("int"))
+    rows = rows.withColumn("q", F.explode(F.transform(F.array(*[F.lit(m).cast("long") for m in masks]), lambda m: F.col("p").bitwiseXOR(m))))
+    # the nodes that there are
+    rows = rows.join(nodes.select(F.col("p").alias("q"), F.col("w").alias("v")), "q")
     # own (node, block) and the other's; the pair's smaller one comes first
     rows = rows.withColumn("r", F.explode(F.sequence(F.lit(0), F.col("v") - 1)))
     mine, other = F.struct("p", "s"), F.struct(F.col("q").alias("p"), F.col("r").alias("s"))
