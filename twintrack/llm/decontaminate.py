@@ -104,10 +104,10 @@ def benchmark_windows(benchmark: DataFrame, span: int = SPAN, k: int = K) -> Dat
 
 
 def bitmap(windows: DataFrame, most: int = BITS) -> tuple[np.ndarray, list[int]]:
-    """(bitmap of the fingerprints of ``benchmark_windows``, lengths of windows); about 32 bits for each, 2^most at most."""
+    """(bitmap of the fingerprints of ``benchmark_windows``, lengths of windows); about 1,000 bits for each, 2^most at most."""
     known = windows.select("length", "fp").distinct()
     n = known.count()
-    bits = int(np.clip(np.ceil(np.log2(max(1, n) * 32)), 6, max(6, most)))
+    bits = int(np.clip(np.ceil(np.log2(max(1, n) * 1000)), 6, max(6, most)))
 
     def run(batches):
         for b in batches:
