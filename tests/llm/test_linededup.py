@@ -37,7 +37,7 @@ def test_hot_words_change_nothing(spark, monkeypatch):
     rows = [(k, "\n".join(words[k * 6 : k * 6 + 6])) for k in range(100)]
     want = gone(spark, rows)
     monkeypatch.setattr(linededup, "HOT", 2)
-    monkeypatch.setattr(linededup, "_level", lambda count: -128 << 56)
+    monkeypatch.setattr(linededup, "_level", lambda count: -128)
     assert gone(spark, rows) == want
 
 

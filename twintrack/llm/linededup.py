@@ -59,8 +59,8 @@ def _hashes(line: str) -> str:
 
 
 def _level(count: int) -> int:
-    """Occurrences in steps of an eighth of an octave, -128 to 127, as the top byte of a long."""
-    return min(255, 8 * count.bit_length() + (count >> max(0, count.bit_length() - 4) & 7)) - 128 << 56
+    """Occurrences in steps of an eighth of an octave, -128 to 127: the top byte of a word."""
+    return min(255, 8 * count.bit_length() + (count >> max(0, count.bit_length() - 4) & 7)) - 128
 
 
 def rarity(docs: DataFrame) -> str:
@@ -70,7 +70,7 @@ def rarity(docs: DataFrame) -> str:
     level = [_level(0)] * BUCKETS
     for r in counts:
         level[r["k"]] = _level(r["count"])
-    return f"cast(split('{','.join(map(str, level))}', ',') as array<bigint>)"
+    return f"cast(split('{','.join(map(str, level))}', ',') as array<int>)"
 
 
 def signatures(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -84,7 +84,7 @@ def signatures(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     s1 = "aggregate(w, 0L, (a, v) -> a ^ shiftleft(shiftrightunsigned(v, 63), cast(shiftright(v, 20) & 63 as int)))"
     s2 = "aggregate(w, 0L, (a, v) -> a ^ shiftleft(shiftrightunsigned(~v, 63), cast(shiftright(v, 20) & 31 as int)))"
     # never null, so that the array is sorted as plain numbers
-    packed = f"sort_array(transform(w, v -> coalesce(get({level}, cast(v & {BUCKETS - 1} as int)), 0L) | shiftrightunsigned(v, 8)))"
+    packed = f"sort_array(transform(w, v -> shiftleft(cast(coalesce(get({level}, cast(v & {BUCKETS - 1} as int)), 0) as bigint), 56) | shiftrightunsigned(v, 8)))"
     h = h.select("doc_id", "no", "h1", "h2", F.size("w").alias("n"), F.expr(s1).alias("s1"), F.expr(s2).alias("s2"), F.expr(packed).alias("w"))
     return h.select("doc_id", "no", "h1", "h2", "n", "s1", "s2", F.slice("w", 1, _prefix(threshold) + 1).alias("prefix"))
 
@@ -96,7 +96,7 @@ def _prefix(threshold: float):
 
 def hot_words(table: DataFrame, threshold: float) -> list[int]:
     """Prefix words of more than HOT rows of ``signatures``, by a sketch of bounded size; HOT_WORDS at most, the most frequent ones."""
-    prefix, least = F.slice("prefix", 1, _prefix(threshold)), _level(HOT)
+    prefix, least = F.slice("prefix", 1, _prefix(threshold)), _level(HOT) << 56
     # what occurs more often than HOT in the corpus at all; the last word of a prefix is the most frequent one
     w = table.where(F.get("prefix", _prefix(threshold) - 1) >= least).select(F.explode(prefix).alias("w")).where(F.col("w") >= least)
     got = w.agg(F.expr(f"approx_top_k(w, {HOT_WORDS}, {16 * HOT_WORDS})").alias("top")).first().top
