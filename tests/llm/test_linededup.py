@@ -21,7 +21,7 @@ def test_lines_whose_hashes_agree_in_32_bits(spark):
 @pytest.mark.parametrize("hot", [20_000, 5])
 def test_one_word_in_many_short_lines(spark, monkeypatch, hot):
     monkeypatch.setattr(linededup, "HOT", hot)
-    n = 100_000 if hot > 5 else 2_000
+    n = 20_000 if hot > 5 else 2_000
     # 'the of and' are in every line twice over, so 'rare' is a prefix word of all
     lines = [f"rare u{k} the of and" for k in range(n)] + ["the of and"] * 3 + [f"the of and x{k} x{k} the" for k in range(n)]
     lines[700] = "rare u3 of the and"
@@ -41,6 +41,17 @@ def test_hot_words_change_nothing(spark, monkeypatch):
     assert gone(spark, rows) == want
 
 
+def test_levels_in_sql(spark):
+    docs = spark.createDataFrame([(1, " ".join(f"w{k}" for k in range(300) for _ in range(k)))], "doc_id long, text string")
+    level = spark.range(1).selectExpr(linededup.rarity(docs) + " l").first().l
+    hashes = dict(spark.range(300).selectExpr("id", f"xxhash64('w' || id) & {linededup.BUCKETS - 1}").collect())
+    count = {}
+    for k, b in hashes.items():
+        count[b] = count.get(b, 0) + k
+    assert len(level) == linededup.BUCKETS and all(level[b] == linededup._level(c) for b, c in count.items())
+    assert level[next(b for b in range(1000) if b not in count)] == linededup._level(0)
+
+
 def test_texts_that_lose_many_lines(spark):
     lines = [f"line number {k} of a long text" if k % 2 else "always the same" for k in range(4000)]
     docs = spark.createDataFrame([(1, "\n".join(lines)), (2, "\n".join(lines[1::2][:1000])), (2, "always the same\nnew words in it")], "doc_id long, text string")

@@ -109,7 +109,7 @@ def fit(rows: list[tuple[str, bytes]], idf: np.ndarray) -> Model:
             count += np.bincount(g, minlength=SIZE)
         at = np.flatnonzero(count)
         value = count[at] * idf[at] * (_SCALE / max(1, count.sum()))
-        x.append((np.append(at, SIZE), np.append(value, 1.0)))
+        x.append((np.append(at, SIZE).astype(np.int32), np.append(value, 1.0).astype(np.float32)))
         y.append(langs.index(lang))
         hold.append(zlib.crc32(text) % HOLD == 0)
     learn = [k for k, h in enumerate(hold) if not h]

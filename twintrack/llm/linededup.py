@@ -66,11 +66,13 @@ def _level(count: int) -> int:
 def rarity(docs: DataFrame) -> str:
     """SQL of an array: per hash bucket the level of its occurrences in the corpus."""
     w = docs.select(F.explode(F.expr(_split("text", "\n"))).alias("w"))
-    counts = w.groupBy(F.xxhash64("w").bitwiseAND(BUCKETS - 1).cast("int").alias("k")).count().collect()  # BUCKETS rows at most
-    level = [_level(0)] * BUCKETS
-    for r in counts:
-        level[r["k"]] = _level(r["count"])
-    return f"cast(split('{','.join(map(str, level))}', ',') as array<int>)"
+    counts = w.groupBy(F.xxhash64("w").bitwiseAND(BUCKETS - 1).alias("k")).agg(F.count("*").alias("c"))
+    every = docs.sparkSession.range(BUCKETS).select(F.col("id").alias("k"), F.lit(0).cast("long").alias("c"))
+    counts = counts.unionAll(every).groupBy("k").agg(F.sum("c").alias("c"))
+    # _level in SQL; one text of BUCKETS numbers comes to the driver
+    level = F.expr("least(255, 8 * length(bin(c)) * int(c > 0) + (shiftright(c, greatest(0, length(bin(c)) - 4)) & 7)) - 128").cast("int")
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", level.alias("l")))), lambda x: x["l"]), ",")
+    return f"cast(split('{counts.agg(text.alias('t')).first().t}', ',') as array<int>)"
 
 
 def signatures(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:

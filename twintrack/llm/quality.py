@@ -96,7 +96,7 @@ def fit(rows: list[tuple[int, bytes]], epochs: int = EPOCHS) -> tuple[np.ndarray
     for _, text in rows:
         count, n = words.tally(text)
         at = np.flatnonzero(count)
-        x.append((np.append(at, 1 << BITS), np.append(count[at] * (_SCALE / max(1, n)), 1.0)))
+        x.append((np.append(at, 1 << BITS).astype(np.int32), np.append(count[at] * (_SCALE / max(1, n)), 1.0).astype(np.float32)))
     model = Ftrl((1 << BITS) + 1, 1, alpha=0.3, l1=2e-2, l2=1e-2).fit(x, y, epochs)
     w = model.weights()[:, 0]
     return w[:-1], float(w[-1])
