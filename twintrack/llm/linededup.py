@@ -24,7 +24,7 @@ from .common import read, settle
 
 THRESHOLD = 0.8
 #: Hash buckets whose occurrences give the rarity of words.
-BUCKETS = 1 << 16
+BUCKETS = 1 << 17
 #: Most bytes of a table that is sent to all executors; a larger one is joined by a shuffle.
 BROADCAST_BYTES = 32 << 20
 #: Rows of a prefix word from which lines are joined on two words, and the most such words.
