@@ -405,3 +405,21 @@ def test_review_medians_flags_and_histogram(spark):
     assert {r.metric: r.max for r in qc.console_summary(animals).collect()}["pct_bad"] == 50.0
     h = qc.histogram(spark.createDataFrame([(float(v),) for v in range(11)], "v double"), "v", 5).orderBy("bin").collect()
     assert [r["count"] for r in h] == [2, 2, 2, 2, 3]
+
+
+def test_sessions_must_have_all_frames_and_required_scores(spark):
+    whole = source.synthetic(spark, 60)
+    holed = whole.where(~F.col("frame").between(20, 39))
+    assert not pipeline.validate(holed).first().ok and pipeline.validate(whole).first().ok
+    with pytest.raises(ValueError, match="aren't valid"):
+        pipeline.preprocess(holed)
+    with pytest.raises(ValueError, match="without scores"):
+        pipeline.preprocess(source.synthetic(spark, 60, scores=False), {"confidence": {"require_scores": True}})
+
+
+def test_few_nodes_take_the_last_one(spark):
+    done = pipeline.preprocess(source.synthetic(spark, 120, nodes=5))
+    rows = done.frames.collect()
+    # cleaning takes some coordinates away
+    assert np.mean([r.body_length is not None for r in rows]) > 0.9 and np.mean([r.bad for r in rows]) < 0.5
+    assert all(r.x0 is not None for r in clean.arena_bounds(done.clean).collect())

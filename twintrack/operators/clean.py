@@ -97,9 +97,13 @@ def mask_geometry(pose: DataFrame, p: Params | None = None) -> DataFrame:
 
 
 def arena_bounds(pose: DataFrame, p: Params | None = None, geom: str | None = None) -> DataFrame:
-    """(session_idx, animal, n, x0, x1, y0, y1) from the anchor node's frames that are not excluded (or blamed); null limits below 50 points."""
+    """(session_idx, animal, n, x0, x1, y0, y1) from the anchor node's frames that are not excluded (or blamed); null limits below 50 points.
+
+    A session of fewer nodes has its last one as the anchor.
+    """
     q = (p or Params()).qc
-    ok = (F.col("node") == q.arena_anchor_node) & ~F.col("excluded") & F.col("x").isNotNull() & F.col("y").isNotNull()
+    pose = pose.join(pose.groupBy("session_idx").agg(F.least(F.max("node"), F.lit(q.arena_anchor_node)).alias("_anchor")), "session_idx")
+    ok = (F.col("node") == F.col("_anchor")) & ~F.col("excluded") & F.col("x").isNotNull() & F.col("y").isNotNull()
     if geom:
         ok = ok & ~F.col(geom)
     lo, hi = (v / 100 for v in q.arena_percentile)

@@ -29,12 +29,16 @@ def _fraction(mask: str):
     return F.avg(F.col(mask).cast("double"))
 
 
+def node_or_last(node: int, column: str):
+    """Aggregate of the rows of a frame: the column at that node, or at the last one if the session has fewer nodes."""
+    return F.max_by(column, F.when(F.col("node") <= node, F.col("node")))
+
+
 def frame_qc(clean: DataFrame, p: Params | None = None) -> DataFrame:
     """Per session, frame and animal: mask fractions, body length and whether it is an outlier, anchor displacement over body length, excluded, bad."""
     q = (p or Params()).qc
     a, b = q.body_length_nodes
-    at = lambda n, c: F.max(F.when(F.col("node") == n, F.col(c)))
-    named = {f"{c}{k}": at(n, c) for k, n in (("1", a), ("2", b), ("0", q.arena_anchor_node)) for c in "xy"}
+    named = {f"{c}{k}": node_or_last(n, c) for k, n in (("1", a), ("2", b), ("0", q.arena_anchor_node)) for c in "xy"}
     rows = clean.groupBy(*ANIMAL, "frame").agg(*[_fraction(m).alias(f) for f, m in zip(FRACTIONS, MASKS.values())], F.bool_or("excluded").alias("excluded"), *[v.alias(k) for k, v in named.items()])
     rows = rows.withColumn("body_length", norm(F.col("x1") - F.col("x2"), F.col("y1") - F.col("y2")))
     w = series(*ANIMAL)
@@ -83,8 +87,7 @@ def animal_qc(frames: DataFrame, clean: DataFrame, raw: DataFrame | None = None,
 
     def medians(samples: DataFrame, tag: str) -> DataFrame:
         a, b = q.body_length_nodes
-        at = lambda n, c: F.max(F.when(F.col("node") == n, F.col(c)))
-        wide = samples.groupBy(*ANIMAL, "frame").agg(*[at(n, c).alias(f"{c}{k}") for k, n in (("1", a), ("2", b), ("0", q.arena_anchor_node)) for c in "xy"])
+        wide = samples.groupBy(*ANIMAL, "frame").agg(*[node_or_last(n, c).alias(f"{c}{k}") for k, n in (("1", a), ("2", b), ("0", q.arena_anchor_node)) for c in "xy"])
         wide = wide.select(*ANIMAL, step(F.col("x0"), F.col("y0"), w).alias("s"), norm(F.col("x1") - F.col("x2"), F.col("y1") - F.col("y2")).alias("b"))
         return wide.groupBy(*ANIMAL).agg(F.median("s").alias(f"median_anchor_step_{tag}"), F.median("b").alias(f"median_body_length_{tag}"))
 

@@ -338,9 +338,9 @@ ORACLE_SQL = {
     "session_validation": with_(POSE | {
         "p": "select session_idx, frame, min(time_s) t, count(*) n from pose group by all",
         "g": "select *, lead(t) over (partition by session_idx order by frame) - t dt from p",
-        "f": "select session_idx, count(*) n_frames, min(dt) d, min(n) lo, max(n) hi from g group by all",
+        "f": "select session_idx, count(*) n_frames, min(dt) d, min(n) lo, max(n) hi, min(frame) = 1 and max(frame) = count(*) dense from g group by all",
         "s": "select session_idx, count(distinct node) n_nodes, count(distinct animal) n_animals from pose group by all"},
-        f"select session_idx, n_frames, n_nodes, n_animals, {r('d')} min_step_s, lo = hi and hi = n_nodes * n_animals complete, n_frames >= 2 and d > 0 and n_animals in (1, 2) and lo = hi and hi = n_nodes * n_animals ok from f join s using (session_idx)"),
+        f"select session_idx, n_frames, n_nodes, n_animals, {r('d')} min_step_s, dense and lo = hi and hi = n_nodes * n_animals complete, n_frames >= 2 and d > 0 and n_animals in (1, 2) and dense and lo = hi and hi = n_nodes * n_animals ok from f join s using (session_idx)"),
     "missing_frames": with_(POSE, "select session_idx, frame, animal, bool_or(x is null or y is null) any_missing, bool_and(x is null and y is null) all_missing from pose group by all"),
     "conf_thresholds": with_(POSE | conf(), f"select {TRACK}, {r('threshold')} threshold, was_relaxed, {r('mask_fraction_initial')} mask_fraction_initial, {r('mask_fraction_final')} mask_fraction_final from thr"),
     "conf_mask": with_(POSE | conf(), f"select {KEYS}, {XY}, low_conf from masked"),
@@ -388,13 +388,13 @@ ORACLE_SQL = {
     "win_circular": scale_query(0.5, [(f, s) for f in CIRCULAR for s in ("circmean", "resultant")]),
     "win_valid_frac": with_(features() | {k: v for i, s in enumerate(SCALES) for k, v in scale(s, [], False, tag=f"_{i}").items()}, " union all ".join(f"select {META} from s4_{i}" for i in range(4))),
     "win_multiscale_wide": with_(features() | matrix(), f"select {META}, {', '.join(f'{r(n)} {n}' for n in WIDE)} from m"),
-    "feature_matrix": with_(features() | matrix(name="m1", where="session_idx = 1", tag="_a") | matrix(SCALES[:2], name="m2", where="session_idx = 2", tag="_b") | {"m": "select * from m1 union all by name select * from m2"}, f"select {META}, {', '.join(f'{r(n)} {n}' for n in WIDE)} from m"),
+    "feature_matrix": with_(features() | matrix(name="m1", where="session_idx % 2 = 1", tag="_a") | matrix(SCALES[:2], name="m2", where="session_idx % 2 = 0", tag="_b") | {"m": "select * from m1 union all by name select * from m2"}, f"select {META}, {', '.join(f'{r(n)} {n}' for n in WIDE)} from m"),
     "feature_stats": with_(stats_parts(PLAIN), f"select feature, pos, valid_n, {', '.join(f'{r(c)} {c}' for c in ('missing_frac', 'median', 'mad', 'iqr', 'std'))}, is_binary, {r('prevalence')} prevalence from st"),
     "corr_pearson": with_(TABLE, " union all ".join(f"select '{a}' a, '{b}' b, {r(f'corr({a}, {b})')} rho from m" for i, a in enumerate(PLAIN) for b in PLAIN[i + 1 :])),
-    "corr_spearman": with_(TABLE, f"select a, b, {r('rho')} rho from ({rank_pairs(PLAIN[:6])})"),
+    "corr_spearman": with_(TABLE, f"select a, b, {r('rho')} rho from ({rank_pairs(PLAIN)})"),
     "variable_scores": with_(stats_parts(PLAIN), f"select feature, pos, base, {r('score')} score from sc"),
     "topk_features": with_(stats_parts(PLAIN), f"select feature, {r('score')} score from sc where score is not null order by sc.score desc, pos limit 5"),
-    "feature_report": with_(stats_parts(PLAIN[:5]) | {"rh": rank_pairs(PLAIN[:5]), "re": "select a feature, abs(rho) v from rh union all select b, abs(rho) from rh"}, f"select feature, valid_n, {r('median')} median, {r('mx')} max_abs_corr from st join (select feature, max(v) mx from re group by all) using (feature)"),
+    "feature_report": with_(stats_parts(PLAIN) | {"rh": rank_pairs(PLAIN), "re": "select a feature, abs(rho) v from rh union all select b, abs(rho) from rh"}, f"select feature, valid_n, {r('median')} median, {r('mx')} max_abs_corr from st join (select feature, max(v) mx from re group by all) using (feature)"),
     "row_missing": with_(features() | matrix(full=False), f"select session_idx, center_frame, window_sec, {r(f'({_RM}){D} / {len(WIDE)}')} row_missing from m"),
     "session_dominance": with_(TABLE, f"select session_idx, count(*) n, {r(f'count(*){D} / sum(count(*)) over ()')} share from m group by session_idx"),
     "moving_mean_series": with_(POSE, f"select {KEYS}, {r('avg(x) over ' + rows('2 preceding and 2 following'))} x_mean from pose"),

@@ -18,13 +18,13 @@ from ..sources.pose import normalised
 
 
 def validate(pose: DataFrame, animals: tuple[int, ...] = (1, 2)) -> DataFrame:
-    """One row for each session: frames, nodes, animals, least time step, whether every frame has all rows, and ``ok``."""
+    """One row for each session: frames, nodes, animals, least time step, whether frames 1 to the last are there with all rows, and ``ok``."""
     per = pose.groupBy("session_idx", "frame").agg(F.min("time_s").alias("t"), F.count("*").alias("n"))
     gaps = per.select("session_idx", "frame", "n", (F.lead("t").over(Window.partitionBy("session_idx").orderBy("frame")) - F.col("t")).alias("dt"))
-    frames = gaps.groupBy("session_idx").agg(F.count("*").alias("n_frames"), F.min("dt").alias("min_step_s"), F.min("n").alias("least"), F.max("n").alias("most"))
+    frames = gaps.groupBy("session_idx").agg(F.count("*").alias("n_frames"), F.min("dt").alias("min_step_s"), F.min("n").alias("least"), F.max("n").alias("most"), F.min("frame").alias("first"), F.max("frame").alias("last"))
     sizes = pose.groupBy("session_idx").agg(F.countDistinct("node").alias("n_nodes"), F.countDistinct("animal").alias("n_animals"))
     rows = frames.join(sizes, "session_idx")
-    whole = (F.col("least") == F.col("most")) & (F.col("most") == F.col("n_nodes") * F.col("n_animals"))
+    whole = (F.col("least") == F.col("most")) & (F.col("most") == F.col("n_nodes") * F.col("n_animals")) & (F.col("first") == 1) & (F.col("last") == F.col("n_frames"))
     ok = (F.col("n_frames") >= 2) & (F.col("min_step_s") > 0) & F.col("n_animals").isin(*animals) & whole
     return rows.select("session_idx", "n_frames", "n_nodes", "n_animals", "min_step_s", whole.alias("complete"), F.coalesce(ok, F.lit(False)).alias("ok"))
 
@@ -43,13 +43,17 @@ class Preprocessed:
 
 
 def preprocess(raw: DataFrame, overrides: dict | Params | None = None, check: bool = True) -> Preprocessed:
-    """All sessions of ``raw`` at once: one plan, dealt out by track, then by frame. An error names sessions that aren't valid."""
+    """All sessions of ``raw`` at once: one plan, dealt out by track, then by frame. An error names sessions that aren't valid or lack required scores."""
     p = overrides if isinstance(overrides, Params) else Params.of(overrides)
     pose = normalised(raw, p.data.fps)
     if check:
         wrong = [r.session_idx for r in validate(pose).where("not ok").orderBy("session_idx").limit(10).collect()]
         if wrong:
             raise ValueError(f"sessions that aren't valid: {wrong}")
+    if p.confidence.require_scores:
+        none = pose.groupBy("session_idx").agg(F.count("score").alias("n")).where("n = 0")
+        if lost := [r.session_idx for r in none.orderBy("session_idx").limit(10).collect()]:
+            raise ValueError(f"sessions without scores, which are required: {lost}")
     clean = clean_tracks(pose, p)
     frames = qc.frame_qc(clean, p)
     animals = qc.animal_qc(frames, clean, pose if p.output.return_raw else None, p)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -123,12 +124,14 @@ def read_sessions(spark: SparkSession, path: str, columns: list[str] | None = No
 
 
 def read_either(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """The first of several places that can be read; an error if none can."""
+    """The first of several places that is there; an error if none is."""
     errors = []
     for p in paths:
         try:
             return spark.read.parquet(p)
-        except Exception as e:  # noqa: BLE001  the reader's message is kept
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":  # a broken first source is an error
+                raise
             errors.append(f"{p}: {str(e).splitlines()[0]}")
     raise FileNotFoundError("; ".join(errors))
 
