@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, embedding, langid, linededup, piececoding, quality, secrets, simhash, tokencount, toxicity
+from . import centroids, conversation, decontaminate, embedding, langid, linededup, packing, piececoding, quality, secrets, simhash, tokencount, toxicity
 
 QUERIES = {
     "op1_tokencount": tokencount.query,
@@ -15,10 +15,14 @@ QUERIES = {
     "op8_embedding": embedding.query,
     "op9_toxicity": toxicity.query,
     "op10_piececoding": piececoding.query,
+    "op11_packing": packing.query,
+    "op12_conversation": conversation.query,
+    "op13_centroids": centroids.query,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op2_linededup": linededup.ORACLE,
     "op5_decontaminate": decontaminate.ORACLE,
     "op8_embedding": embedding.ORACLE,
+    "op13_centroids": centroids.ORACLE,
 }
