@@ -129,7 +129,7 @@ def first_centroids(rows: DataFrame, count: int, salt: str = SALT) -> np.ndarray
     """The vectors of the ``count`` smallest hex SHA-256 of salt and id, in that order; null ids come last, equal ids go by their vectors."""
     order = F.sha2(F.concat(F.lit(salt), F.col("vec_id").cast("string")), 256)
     got = rows.select("q", order.alias("h")).orderBy(F.col("h").asc_nulls_last(), "q").limit(count).collect()  # count rows
-    return np.array([r.q for r in got], np.int64).reshape(len(got), -1)
+    return np.array([r.q for r in got], np.int64).reshape(len(got), SIZE)
 
 
 def cluster(vectors: DataFrame, count: int = CENTROIDS, rounds: int = ROUNDS, salt: str = SALT) -> tuple[DataFrame, np.ndarray]:

@@ -324,3 +324,55 @@ def query(spark, sf_dir: str) -> DataFrame:
     got = all_.join(audit.withColumnRenamed("conv_id", "_a"), same("_a"), "left").join(digests(left).withColumnRenamed("conv_id", "_h"), same("_h"), "left")
     zero = [F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
     return got.select("conv_id", *zero, F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", F.lit(hashlib.sha256().hexdigest())).alias("repaired_sha256"))
+
+
+#: CRC-32 is computed bit by bit; the edits forwards, with the cheapest and ASCII-least text of each state.
+ORACLE = r"""
+with recursive crc as (
+  select conv_id, turn, coalesce(role, ' ') "role", coalesce(text, ' ') "text", xor(4294967295, list_reduce(list_prepend(cast(4294967295 as ubigint), list_transform(string_split(coalesce(cast(conv_id as varchar), ' ') || ':' || coalesce(cast(turn as varchar), ' '), ''), lambda x: cast(ascii(x) as ubigint))),
+    lambda c, b: list_reduce(list_prepend(xor(c, b), range(8)::ubigint[]), lambda s, i: xor(s >> 1, 3988292384 * (s & 1))))) % 20 d
+  from conversations),
+turns as materialized (
+  select conv_id, turn, case when d = 4 then 'user' else "role" end "role", case when d = 1 then '' when d = 2 then regexp_replace("text", '[.!?]', '', 'g') else "text" end "text", unnest(range(case when d = 3 then 2 else 1 end)) n
+  from crc where d <> 0),
+o as (
+  select *, row_number() over (partition by conv_id order by turn nulls first, "role", "text", n) i, count(*) over (partition by conv_id) size,
+    rtrim("text", chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) bare from turns),
+f as materialized (
+  select *, bare = '' blank, bare <> '' and row_number() over (partition by conv_id, "role", "text" order by i) > 1 same, substr("role", 1, 1) ini, lag(substr("role", 1, 1)) over (partition by conv_id order by i) prev from o),
+g as materialized (
+  select *, not blank and not same and right(bare, 1) not in ('.', '!', '?') torn, blank or same must from f),
+-- cheapest edits (cost, audit) that end in each state after row i: 1 nothing yet, 2 system, 3 user, 4 assistant
+dp as (
+  select conv_id, cast(0 as bigint) i, [struct_pack(c := cast(0 as bigint), a := ''), null, null, null] b from (select distinct conv_id from g)
+  union all
+  select dp.conv_id, g.i, list_transform([
+    list_filter([struct_pack(c := w[1].c + 3, a := w[1].a || 'D')], lambda x: x.c is not null),
+    list_filter([struct_pack(c := w[2].c + 3, a := w[2].a || 'D'), case when not must and ini = 's' then struct_pack(c := w[1].c + torn::int, a := w[1].a || 'K') end], lambda x: x.c is not null),
+    list_filter([struct_pack(c := w[3].c + 3, a := w[3].a || 'D')] || flatten(list_transform([1, 2, 4], lambda s: [case when not must then struct_pack(c := w[s].c + 2 + torn::int, a := w[s].a || 'R') end, case when not must and ini = 'u' then struct_pack(c := w[s].c + torn::int, a := w[s].a || 'K') end])), lambda x: x.c is not null),
+    list_filter([struct_pack(c := w[4].c + 3, a := w[4].a || 'D'), case when not must then struct_pack(c := w[3].c + 2 + torn::int, a := w[3].a || 'R') end, case when not must and ini = 'a' then struct_pack(c := w[3].c + torn::int, a := w[3].a || 'K') end], lambda x: x.c is not null)],
+    lambda l: list_sort(l)[1])
+  from (
+    -- up to two insertions first
+    select conv_id, i, [b[1], b[2],
+      list_sort(list_filter([b[3], struct_pack(c := b[1].c + 2, a := b[1].a || 'I'), struct_pack(c := b[2].c + 2, a := b[2].a || 'I'), struct_pack(c := b[4].c + 2, a := b[4].a || 'I')], lambda x: x.c is not null))[1],
+      list_sort(list_filter([b[4], struct_pack(c := b[3].c + 2, a := b[3].a || 'I'), struct_pack(c := b[1].c + 4, a := b[1].a || 'II'), struct_pack(c := b[2].c + 4, a := b[2].a || 'II')], lambda x: x.c is not null))[1]] w from dp) dp
+  join g on g.conv_id is not distinct from dp.conv_id and g.i = dp.i + 1),
+best as materialized (
+  select dp.conv_id, list_sort(list_filter([b[1], b[4], struct_pack(c := b[3].c + 2, a := b[3].a || 'I'), struct_pack(c := b[2].c + 4, a := b[2].a || 'II')], lambda x: x.c is not null))[1] z
+  from dp join (select conv_id, max(i) m from g group by 1) t on t.conv_id is not distinct from dp.conv_id and dp.i = t.m),
+steps as (
+  select conv_id, k, substr(z.a, k, 1) e from (select conv_id, z, unnest(range(1, length(z.a) + 1)) k from best)),
+placed as (
+  select conv_id, k, e, count(*) filter (where e <> 'I') over w i, count(*) filter (where e <> 'D') over w p from steps window w as (partition by conv_id order by k)),
+named as (
+  select p.conv_id, p.k, p.e, p.p, g."role", g."text", coalesce(max(case when p.p = 1 and p.e = 'K' and g.ini = 's' then 1 else 0 end) over (partition by p.conv_id), 0) s
+  from placed p left join g on g.conv_id is not distinct from p.conv_id and g.i = p.i and p.e <> 'I'),
+lines as (
+  select conv_id, string_agg(case when e = 'K' then "role" when (p - s) % 2 = 1 then 'user' else 'assistant' end || ':' || coalesce("text", ''), chr(10) order by k) body from named where e <> 'D' group by 1),
+seen as (
+  select conv_id, coalesce(max(turn) - min(turn) + 1 - count(distinct turn), 0) gaps, count(*) filter (where blank) blank, count(*) filter (where same) "duplicate", count(*) filter (where torn) truncated,
+    count(*) filter (where i > 1 and prev || ini not in ('su', 'ua', 'au')) illegal from g group by 1)
+select c.conv_id, cast(coalesce(gaps, 0) as bigint) gaps, coalesce(blank, 0) blank, coalesce("duplicate", 0) "duplicate", coalesce(truncated, 0) truncated, coalesce(illegal, 0) illegal, coalesce(z.c, 0) "cost", coalesce(z.a, '') audit, sha256(coalesce(body, '')) repaired_sha256
+from (select distinct conv_id from conversations) c left join seen s on s.conv_id is not distinct from c.conv_id left join best b on b.conv_id is not distinct from c.conv_id left join lines l on l.conv_id is not distinct from c.conv_id
+"""

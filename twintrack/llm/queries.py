@@ -24,5 +24,6 @@ ORACLE_SQL: dict[str, str] = {
     "op2_linededup": linededup.ORACLE,
     "op5_decontaminate": decontaminate.ORACLE,
     "op8_embedding": embedding.ORACLE,
+    "op12_conversation": conversation.ORACLE,
     "op13_centroids": centroids.ORACLE,
 }
