@@ -403,3 +403,10 @@ ORACLE_SQL = {
     "node_lookup": values(sorted(node_map().items()), "name, node"),
     "supplier_windows": with_({**_SUPPLIER, **{k: v for k, v in features().items() if k not in POSE}, **scale(0.5, [("centroid_dist", "mean"), ("centroid_dist", "max"), ("in_contact", "occupancy")], False)}, f"select session_idx, center_frame, window_sec, {r('valid_frame_fraction')} valid_frame_fraction, {r('centroid_dist__mean__0_5s')} centroid_dist__mean__0_5s, {r('centroid_dist__max__0_5s')} centroid_dist__max__0_5s, {r('in_contact__occupancy__0_5s')} in_contact__occupancy__0_5s from s4"),
 }
+
+# the queries on blocks have the rows of those on whole sessions
+ORACLE_SQL |= {
+    **{f"block_{b}": ORACLE_SQL[q] for b, q in {"win_numeric": "win_numeric", "win_prefix": "win_prefix", "win_boolean": "win_boolean", "win_circular": "win_circular", "kinematics": "feat_kinematics", "runs": "find_runs", "dilate": "dilate_mask", "displacement": "displacement"}.items()},
+    "block_running": with_(POSE | disp("pose"), f"""select {KEYS}, count(x) over u seen, {r('coalesce(sum(disp) over u, 0)')} path, {r('last_value(x ignore nulls) over u')} last_x, {r('max(y) over u')} max_y
+      from moved window u as (partition by {TRACK} order by frame rows between unbounded preceding and current row)"""),
+}

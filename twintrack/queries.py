@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .functions.core import hazen, moving_mean, series
-from .operators import clean, frames, qc, runs, select, windows
+from .operators import clean, frames, qc, runs, segments, select, windows
 from .params import Params
 from .plans import pipeline
 from .sources import pose as source
@@ -398,3 +398,61 @@ def supplier_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["supplier_windows"] = supplier_windows
+
+
+# -- the same as above on blocks of sessions, short ones here so that sessions have several
+SHORT = 60
+
+
+def _summary_blocks(p, kind: str, seconds: float, stats: list[str] | None = None, full: bool = False, method: str = "sliding"):
+    names = {"numeric": frames.NUMERIC, "boolean": frames.BOOLEAN, "circular": frames.CIRCULAR}[kind]
+    f = segments.frame_features_blocks(p, block=SHORT)
+    return segments.summarize_blocks(f, (seconds,), block=SHORT, names=names, stats=windows.STATS | ({kind: stats} if stats else {}), full=full, method=method).drop("center_time_s")
+
+
+@query
+def block_win_numeric(p):
+    return _summary_blocks(p, "numeric", 0.2, ["mean", "std", "min", "max", "delta"], full=True)
+
+
+@query
+def block_win_prefix(p):
+    return _summary_blocks(p, "numeric", 0.5, ["mean", "std", "slope"], method="prefix")
+
+
+@query
+def block_win_boolean(p):
+    return _summary_blocks(p, "boolean", 0.5)
+
+
+@query
+def block_win_circular(p):
+    return _summary_blocks(p, "circular", 0.5)
+
+
+@query
+def block_kinematics(p):
+    return segments.frame_features_blocks(p, block=SHORT).select("session_idx", "frame", *frames.FEATURES[17:21])
+
+
+@query
+def block_runs(p):
+    return segments.find_runs_blocks(_missing(p), "gap", runs.TRACK, SHORT)
+
+
+@query
+def block_dilate(p):
+    return segments.dilate_blocks(_missing(p), "gap", 2, runs.TRACK, "wide", SHORT).select(*KEYS, "gap", "wide")
+
+
+@query
+def block_displacement(p):
+    return segments.displacement_blocks(p, block=SHORT).select(*KEYS, "disp")
+
+
+@query
+def block_running(p):
+    """How many samples a track has had, how far it has come, and where it was last."""
+    made = segments.displacement_blocks(p, block=SHORT)
+    made = segments.running(made, [("x", "seen", "count"), ("disp", "path", "sum"), ("x", "last_x", "last"), ("y", "max_y", "max")], runs.TRACK, SHORT)
+    return made.select(*KEYS, "seen", "path", "last_x", "max_y")
