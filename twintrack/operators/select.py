@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
+from ..sources.scratch import written
+from . import order
 from .windows import META
 
 
@@ -22,40 +24,34 @@ def summary_names(table: DataFrame) -> list[str]:
     return [c for c in table.columns if c not in META]
 
 
-def melted(table: DataFrame, names: list[str]) -> DataFrame:
-    """(feature, pos, value), a row for each cell."""
-    cells = [F.struct(F.lit(n).alias("feature"), F.lit(i).alias("pos"), F.col(n).cast("double").alias("value")) for i, n in enumerate(names)]
-    return table.select(F.explode(F.array(*cells)).alias("c")).select("c.*")
-
-
-def quantiles_hazen(table: DataFrame, names: list[str], probabilities: list[float], counts: dict[str, int]) -> DataFrame:
-    """One row with ``name__p`` columns: mid-point quantiles as exact percentiles at the position that a column's count gives."""
-    cols = []
-    for n in names:
-        k = counts[n]
-        for p in probabilities:
-            h = min(max(k * p + 0.5, 1.0), float(max(k, 1)))
-            cols.append(F.percentile(n, F.lit((h - 1) / (k - 1) if k > 1 else 0.0)).alias(f"{n}__{p}"))
-    return table.agg(*cols)
+def once(table: DataFrame, names: list[str]) -> DataFrame:
+    """The columns as doubles, written so that what lies behind them is computed once; a table that this has returned stays as it is."""
+    if getattr(table, "_tw_written", None) == names:
+        return table
+    made = written(table.select(*[F.col(n).cast("double").alias(n) for n in names]))
+    made._tw_written = list(names)
+    return made
 
 
 def feature_stats(table: DataFrame, names: list[str]) -> DataFrame:
-    """(feature, pos, valid_n, missing_frac, median, mad, iqr, std, is_binary, prevalence); aggregates with map-side combine throughout.
+    """(feature, pos, valid_n, missing_frac, median, mad, iqr, std, is_binary, prevalence).
 
-    mad: median absolute deviation from the median; iqr: mid-point rule; prevalence of binary features over all rows.
+    mad: median absolute deviation from the median; iqr: mid-point rule; prevalence of binary features over all rows. Order statistics
+    come from the sorted distinct values of all columns together, see ``order``; the table is computed once.
     """
-    table = table.select(*[F.col(n).cast("double").alias(n) for n in names])
-    one = table.agg(F.count(F.lit(1)).alias("rows"), *[f(n).alias(f"{n}__{k}") for n in names for k, f in (("n", F.count), ("med", F.median), ("sd", F.stddev_samp), ("bin", lambda c: F.bool_and(F.col(c).isin(0.0, 1.0))), ("on", lambda c: F.count_if(F.col(c) > 0.5)))]).first()
-    counts = {n: one[f"{n}__n"] for n in names}
-    q = quantiles_hazen(table, names, [0.25, 0.75], counts).first()
-    mads = table.agg(*[F.median(F.abs(F.col(n) - F.lit(one[f"{n}__med"]))).alias(n) for n in names]).first()
+    table = once(table, names)
+    one = table.agg(F.count(F.lit(1)).alias("rows"), *[f(n).alias(f"{n}__{k}") for n in names for k, f in (("n", F.count), ("sd", F.stddev_samp), ("bin", lambda c: F.bool_and(F.col(c).isin(0.0, 1.0))), ("on", lambda c: F.count_if(F.col(c) > 0.5)))]).first()
+    q = order.Sorted(order.cells(table, [F.col(n) for n in names])).quantiles([0.25, 0.5, 0.75])
+    away = [F.abs(F.col(n) - F.lit(q.get((i, 0.5)))) for i, n in enumerate(names)]
+    mads = order.Sorted(order.cells(table, away)).quantiles([0.5])
     rows = []
     for i, n in enumerate(names):
-        k, total = counts[n], one["rows"]
-        iqr = q[f"{n}__0.75"] - q[f"{n}__0.25"] if k else None
+        k, total = one[f"{n}__n"], one["rows"]
+        iqr = q[i, 0.75] - q[i, 0.25] if k else None
         std = None if not k else 0.0 if k == 1 else one[f"{n}__sd"]
         binary = bool(k) and bool(one[f"{n}__bin"])
-        rows.append((n, i, k, (total - k) / total if total else None, one[f"{n}__med"], mads[n], iqr, std, binary, one[f"{n}__on"] / total if binary else None))
+        rows.append((n, i, k, (total - k) / total if total else None, q.get((i, 0.5)), mads.get((i, 0.5)), iqr, std, binary, one[f"{n}__on"] / total if binary else None))
+    rows = [tuple(None if v is None else float(v) if isinstance(v, float) else v for v in r) for r in rows]
     return table.sparkSession.createDataFrame(rows, "feature string, pos int, valid_n long, missing_frac double, median double, mad double, iqr double, std double, is_binary boolean, prevalence double")
 
 
@@ -71,27 +67,17 @@ def _long(one_row: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
 
 
 def corr_spearman(table: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
-    """(a, b, rho) of mean-tie ranks of pairs of columns, ranked anew on the rows where both are there.
-
-    Ranks come from counts of equal values, so a pair's ranking window sees its distinct values only, not its rows.
-    """
-    cells = [F.struct(F.lit(i).alias("i"), F.col(a).cast("double").alias("x"), F.col(b).cast("double").alias("y")) for i, (a, b) in enumerate(pairs)]
-    long = table.select(F.explode(F.array(*cells)).alias("c")).select("c.*").where("x is not null and y is not null")
-
-    def ranks(v: str) -> DataFrame:
-        n = long.groupBy("i", v).agg(F.count("*").alias("n"))
-        w = Window.partitionBy("i").orderBy(v)
-        return n.select("i", v, (F.sum("n").over(w) - (F.col("n") - 1) / 2).alias(f"r{v}"))
-
-    both = long.join(ranks("x"), ["i", "x"]).join(ranks("y"), ["i", "y"])
-    got = both.groupBy("i").agg(F.corr("rx", "ry").alias("rho"))
-    names = table.sparkSession.createDataFrame([(i, a, b) for i, (a, b) in enumerate(pairs)], "i int, a string, b string")
-    return names.join(got, "i", "left").select("a", "b", F.when(~F.isnan("rho"), F.col("rho")).alias("rho"))
+    """(a, b, n, rho) of mean-tie ranks of pairs of columns, ranked on the n rows where both are there; see ``order.spearman``."""
+    names = sorted({x for p in pairs for x in p})
+    at = {n: i for i, n in enumerate(names)}
+    got = order.spearman(table, names, [(at[a], at[b]) for a, b in pairs])
+    return table.sparkSession.createDataFrame([(a, b, *got[at[a], at[b]]) for a, b in pairs], "a string, b string, n long, rho double")
 
 
 def inspect(table: DataFrame, names: list[str], method: str = "spearman") -> DataFrame:
     """``feature_stats`` with ``max_abs_corr``, the largest absolute correlation with another feature."""
     pairs = [(a, b) for i, a in enumerate(names) for b in names[i + 1 :]]
+    table = once(table, names)
     stats = feature_stats(table, names)
     if not pairs:
         return stats.withColumn("max_abs_corr", F.lit(None).cast("double"))
@@ -121,12 +107,13 @@ def select_features(table: DataFrame, names: list[str], max_missing: float = 0.1
 
     The correlations of all candidates are computed at once; only the greedy choice over at most ``max_keep`` of them is on the driver.
     """
+    table = once(table, names)
     scores = variable_scores(feature_stats(table, names), max_missing, min_mad, min_iqr)
-    order = [r.feature for r in candidates(scores, max_keep, min_keep).collect()]
-    pairs = [(a, b) for i, a in enumerate(order) for b in order[i + 1 :]]
+    best = [r.feature for r in candidates(scores, max_keep, min_keep).collect()]
+    pairs = [(a, b) for i, a in enumerate(best) for b in best[i + 1 :]]
     rho = {(r.a, r.b): r.rho for r in corr_spearman(table, pairs).collect()} if pairs else {}
     kept: list[str] = []
-    for f in order:
+    for f in best:
         known = (rho.get((g, f), rho.get((f, g))) for g in kept)
         if all(r is None or abs(r) < max_corr for r in known):
             kept.append(f)
@@ -149,15 +136,13 @@ def pca_ratios(table: DataFrame, names: list[str]) -> list[float]:
     """Explained percentages of the principal components of the median-imputed columns, centred, not scaled."""
     import numpy as np
 
-    medians = table.agg(*[F.median(n).alias(n) for n in names]).first()
-    x = table.select(*[F.coalesce(F.col(n), F.lit(medians[n])).alias(n) for n in names])
-    pairs = [(a, b) for i, a in enumerate(names) for b in names[i:]]
-    # sums about the median, so that large means don't cancel
-    got = x.agg(*[F.covar_samp(F.col(a) - F.lit(medians[a]), F.col(b) - F.lit(medians[b])).alias(f"r{i}") for i, (a, b) in enumerate(pairs)]).first()
-    c = np.zeros((len(names), len(names)))
-    at = {n: i for i, n in enumerate(names)}
-    for i, (a, b) in enumerate(pairs):
-        c[at[a], at[b]] = c[at[b], at[a]] = got[f"r{i}"] or 0.0
+    table = once(table, names)
+    medians = order.Sorted(order.cells(table, [F.col(n) for n in names])).quantiles([0.5])
+    # about the median, so that large means don't cancel; what is missing is at the median
+    x = table.select(*[F.coalesce(F.col(n) - F.lit(medians.get((i, 0.5))), F.lit(0.0)).alias(n) for i, n in enumerate(names)], F.lit(1.0).alias("_one"))
+    g = order.products(x, len(names) + 1, order.plain)
+    n = g[-1, -1]
+    c = (g[:-1, :-1] - np.outer(g[-1, :-1], g[-1, :-1]) / n) / (n - 1)
     v = np.maximum(np.linalg.eigvalsh(c)[::-1], 0.0)
     return (100 * v / v.sum()).tolist() if v.sum() > 0 else [math.nan] * len(names)
 

@@ -410,3 +410,12 @@ ORACLE_SQL |= {
     "block_running": with_(POSE | disp("pose"), f"""select {KEYS}, count(x) over u seen, {r('coalesce(sum(disp) over u, 0)')} path, {r('last_value(x ignore nulls) over u')} last_x, {r('max(y) over u')} max_y
       from moved window u as (partition by {TRACK} order by frame rows between unbounded preceding and current row)"""),
 }
+
+_BOTH = " union all ".join(f"select '{a}' a, '{b}' b, count(*) n from m where {a} is not null and {b} is not null" for i, a in enumerate(PLAIN) for b in PLAIN[i + 1 :])
+ORACLE_SQL |= {
+    "rank_correlations": with_(TABLE, f"select a, b, n, {r('rho')} rho from ({rank_pairs(PLAIN)}) join ({_BOTH}) using (a, b)"),
+    "inspection": with_(
+        stats_parts(PLAIN) | {"rh": rank_pairs(PLAIN), "re": "select a feature, abs(rho) v from rh union all select b, abs(rho) from rh"},
+        f"select feature, pos, valid_n, {', '.join(f'{r(c)} {c}' for c in ('missing_frac', 'median', 'mad', 'iqr', 'std'))}, is_binary, {r('prevalence')} prevalence, {r('mx')} max_abs_corr from st join (select feature, max(v) mx from re group by all) using (feature)",
+    ),
+}

@@ -302,10 +302,21 @@ def corr_pearson(p):
     return select.corr_pearson(t, [(a, b) for i, a in enumerate(names) for b in names[i + 1 :]])
 
 
+def _pairs(names):
+    return [(a, b) for i, a in enumerate(names) for b in names[i + 1 :]]
+
+
 @query
 def corr_spearman(p):
     t, names = _table(p)
-    return select.corr_spearman(t, [(a, b) for i, a in enumerate(names) for b in names[i + 1 :]])
+    return select.corr_spearman(t, _pairs(names)).drop("n")
+
+
+@query
+def rank_correlations(p):
+    """All pairs of columns, with the rows that they share."""
+    t, names = _table(p)
+    return select.corr_spearman(t, _pairs(names))
 
 
 @query
@@ -326,6 +337,13 @@ def feature_report(p):
     return select.inspect(t, names).select("feature", "valid_n", "median", "max_abs_corr")
 
 
+@query
+def inspection(p):
+    """The whole report of every column."""
+    t, names = _table(p)
+    return big(select.inspect(t, names), "pos")
+
+
 @query
 def row_missing(p):
     t = _matrix(p, full=False)
