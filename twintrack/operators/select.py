@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
+from ..functions import checks
 from ..sources.scratch import written
 from . import order
 from .windows import META
@@ -98,8 +99,9 @@ def variable_scores(stats: DataFrame, max_missing: float = 0.10, min_mad: float
 
 
 def candidates(scores: DataFrame, max_keep: int = 120, min_keep: int = 20) -> DataFrame:
-    """The best scored features, at most ``max_keep``; ties keep their order."""
-    return scores.where("score is not null").orderBy(F.col("score").desc_nulls_last(), "pos").limit(max(max_keep, min(min_keep, max_keep)))
+    """The best scored features, at most ``max_keep``; ties keep their order. Only scored ones can be taken, so ``min_keep`` changes nothing; it is accepted."""
+    checks.whole(max_keep=max_keep, min_keep=min_keep)
+    return scores.where("score is not null").orderBy(F.col("score").desc_nulls_last(), "pos").limit(int(max_keep))
 
 
 def select_features(table: DataFrame, names: list[str], max_missing: float = 0.10, min_mad: float = 1e-6, min_iqr: float = 1e-6, max_keep: int = 120, min_keep: int = 20, max_corr: float = 0.90) -> tuple[list[str], DataFrame]:
@@ -107,6 +109,13 @@ def select_features(table: DataFrame, names: list[str], max_missing: float = 0.1
 
     The correlations of all candidates are computed at once; only the greedy choice over at most ``max_keep`` of them is on the driver.
     """
+    checks.share(max_missing=max_missing)
+    checks.least_zero(min_mad=min_mad, min_iqr=min_iqr)
+    checks.whole(max_keep=max_keep, min_keep=min_keep)
+    checks.positive(max_corr=max_corr)
+    if max_corr >= 1.01:
+        raise ValueError(f"max_corr must be below 1.01, not {max_corr!r}")
+    checks.columns(table.columns, names)
     table = once(table, names)
     scores = variable_scores(feature_stats(table, names), max_missing, min_mad, min_iqr)
     best = [r.feature for r in candidates(scores, max_keep, min_keep).collect()]
@@ -147,8 +156,15 @@ def pca_ratios(table: DataFrame, names: list[str]) -> list[float]:
     return (100 * v / v.sum()).tolist() if v.sum() > 0 else [math.nan] * len(names)
 
 
+#: What readiness asks for.
+CRITERIA = ["Enough windows", "Median missingness acceptable", "Feature count in range", "PC1 not dominant", "Session dominance acceptable"]
+
+
 def readiness(table: DataFrame, names: list[str], kept: list[str], min_windows: int = 2000, max_median_missing: float = 0.05, min_features: int = 20, max_features: int = 200) -> DataFrame:
     """One row: figures, the five checks, whether all pass, and the failed ones. An empty matrix is not ready."""
+    checks.whole(min_windows=min_windows, min_features=min_features, max_features=max_features)
+    checks.share(max_median_missing=max_median_missing)
+    checks.columns(table.columns, [*names, *kept])
     spark = table.sparkSession
     n = table.count()
     schema = "num_windows long, median_row_missing double, num_selected int, effective_rank int, pc1_explained_pct double, largest_session_fraction double, is_ready boolean, reasons array<string>"
@@ -161,11 +177,17 @@ def readiness(table: DataFrame, names: list[str], kept: list[str], min_windows:
         if not math.isnan(ratios[0]):
             rank, pc1 = sum(r > 1 for r in ratios), ratios[0]
     top = session_dominance(table).agg(F.max("share")).first()[0]
-    checks = {
+    checked = {
         "Enough windows": n >= min_windows,
         "Median missingness acceptable": missing is not None and missing <= max_median_missing,
         "Feature count in range": min_features <= len(kept) <= max_features,
         "PC1 not dominant": pc1 is None or pc1 < 60,
         "Session dominance acceptable": top is None or top < 0.7,
     }
-    return spark.createDataFrame([(n, missing, len(kept), rank, pc1, top, all(checks.values()), [k for k, ok in checks.items() if not ok])], schema)
+    return spark.createDataFrame([(n, missing, len(kept), rank, pc1, top, all(checked.values()), [k for k, ok in checked.items() if not ok])], schema)
+
+
+def readiness_checks(one: DataFrame) -> DataFrame:
+    """(criterion, pass) of the checks of ``readiness``; an empty matrix has none."""
+    reasons = F.array(*[F.lit(c) for c in CRITERIA])
+    return one.where("num_windows > 0 and median_row_missing is not null").select(F.explode(F.transform(reasons, lambda c: F.struct(c.alias("criterion"), (~F.array_contains("reasons", c)).alias("pass")))).alias("c")).select("c.*")

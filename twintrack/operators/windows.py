@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
+from ..functions import checks
 from ..functions.core import around, series
 from .frames import FEATURES, kind
 
@@ -53,13 +54,19 @@ def _columns(feature: str, as_kind: str, w, frame, fps: float, stats: list[str],
             kc = F.when(have, (F.col(k) - F.max(k).over(whole) / 2).cast("double"))
             km = total(kc) / F.nullif(n, F.lit(0))
             sxy = total(kc * F.col(c)) - n * km * m
+            # the largest of a window: of the rest of the piece that it begins in, and of the piece that it ends in so far
+            piece = Window.partitionBy("session_idx", "_seg")
+            for name, best in (("min", F.min), ("max", F.max)):
+                if name in stats:
+                    first |= {f"_{name}_to_{feature}": best(x).over(piece.orderBy("frame").rowsBetween(Window.unboundedPreceding, 0)), f"_{name}_from_{feature}": best(x).over(piece.orderBy(F.col("frame").desc()).rowsBetween(Window.unboundedPreceding, 0))}
             slope = F.when(n >= 2, sxy * 12 / F.nullif(n * (n.cast("double") * n - 1), F.lit(0.0)) * fps)
         else:
             mean = F.avg(x).over(frame)
             std = F.when(n == 1, F.lit(0.0)).otherwise(F.stddev_samp(x).over(frame))
             slope = F.when(n >= 2, F.regr_slope(x, F.when(have, F.col(k))).over(frame) * fps)
         made = {
-            "mean": mean, "std": std, "slope": slope, "min": F.min(x).over(frame), "max": F.max(x).over(frame),
+            "mean": mean, "std": std, "slope": slope,
+            **{name: both(F.lag(f"_{name}_from_{feature}", before).over(w), F.lead(f"_{name}_to_{feature}", after).over(w)) if method == "prefix" else one(x).over(frame) for name, one, both in (("min", F.min, F.least), ("max", F.max, F.greatest))},
             "delta": F.last(x, ignorenulls=True).over(frame) - F.first(x, ignorenulls=True).over(frame),
         }
     elif as_kind == "boolean":
@@ -84,9 +91,14 @@ def summarize_scale(features: DataFrame, seconds: float, fps: float = 80.0, name
 
     A window has round(seconds * fps) frames, the extra one of an even number after its centre. Windows that reach over an end are
     left out, and with ``full`` those with fewer ok frames than 1 - ``max_missing``. Statistics leave nulls out; the slope is
-    against the count of values, not against time.
+    against the count of values, not against time. ``method`` prefix takes sums from running sums and extremes from those of pieces
+    as long as a window, in time independent of its length.
     """
     names, stats = FEATURES if names is None else names, stats or STATS
+    checks.positive(seconds=seconds, fps=fps)
+    checks.share(max_missing=max_missing)
+    checks.one_of("method", method, ("sliding", "prefix"))
+    checks.columns(features.columns, names)
     n, before, after = frames_of(seconds, fps)
     w = series("session_idx")
     frame = around(w, before, after)
@@ -97,7 +109,10 @@ def summarize_scale(features: DataFrame, seconds: float, fps: float = 80.0, name
         made |= {f"{f}__{s}" if plain else label(f, s, seconds): c for s, c in got.items()}
     rows = features.select("session_idx", "frame", "time_s", "frame_ok", *names)
     size = F.count(F.lit(1)).over(Window.partitionBy("session_idx"))
-    rows = rows.withColumns({"_pos": F.row_number().over(w), "_size": size} | first)
+    rows = rows.withColumns({"_pos": F.row_number().over(w), "_size": size})
+    if method == "prefix":
+        rows = rows.withColumn("_seg", F.floor((F.col("_pos") - 1) / n))
+    rows = rows.withColumns(first)
     rows = rows.select("session_idx", F.col("frame").alias("center_frame"), F.col("time_s").alias("center_time_s"), F.lit(float(seconds)).alias("window_sec"), F.avg(F.col("frame_ok").cast("double")).over(frame).alias("valid_frame_fraction"), "_pos", "_size", *[c.alias(k) for k, c in made.items()])
     rows = rows.where((F.col("_pos") > before) & (F.col("_pos") + after <= F.col("_size"))).drop("_pos", "_size")
     return rows.where(F.col("valid_frame_fraction") >= 1 - max_missing) if full else rows

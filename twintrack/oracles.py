@@ -419,3 +419,5 @@ ORACLE_SQL |= {
         f"select feature, pos, valid_n, {', '.join(f'{r(c)} {c}' for c in ('missing_frac', 'median', 'mad', 'iqr', 'std'))}, is_binary, {r('prevalence')} prevalence, {r('mx')} max_abs_corr from st join (select feature, max(v) mx from re group by all) using (feature)",
     ),
 }
+
+ORACLE_SQL["win_extremes"] = scale_query(0.5, [(f, s) for f in NUMERIC for s in ("min", "max")])

@@ -8,13 +8,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from ..operators import qc
+from ..functions import checks
+from ..operators import qc, segments
 from ..operators.clean import clean_tracks
 from ..operators.frames import frame_features
-from ..operators.select import inspect, readiness, select_features, summary_names
+from ..operators.select import inspect, readiness, readiness_checks, select_features, summary_names
 from ..operators.windows import META, SCALES, summarize
 from ..params import Params
 from ..sources.pose import normalised
+from ..sources.scratch import written
 
 
 def validate(pose: DataFrame, animals: tuple[int, ...] = (1, 2)) -> DataFrame:
@@ -54,8 +56,9 @@ def preprocess(raw: DataFrame, overrides: dict | Params | None = None, check: bo
         none = pose.groupBy("session_idx").agg(F.count("score").alias("n")).where("n = 0")
         if lost := [r.session_idx for r in none.orderBy("session_idx").limit(10).collect()]:
             raise ValueError(f"sessions without scores, which are required: {lost}")
-    clean = clean_tracks(pose, p)
-    frames = qc.frame_qc(clean, p)
+    # every table below starts from these two
+    clean = written(clean_tracks(pose, p))
+    frames = written(qc.frame_qc(clean, p))
     animals = qc.animal_qc(frames, clean, pose if p.output.return_raw else None, p)
     return Preprocessed(clean, frames, qc.node_qc(clean), animals, qc.missing_frames(pose))
 
@@ -64,19 +67,28 @@ def preprocess_one(raw: DataFrame, session_idx: int, overrides: dict | None = No
     return preprocess(raw.where(F.col("session_idx") == session_idx), overrides)
 
 
-def features_of(done: Preprocessed, scales=SCALES, layout: str = "wide", fps: float = 80.0, **options) -> DataFrame:
-    """Window summaries of preprocessed sessions."""
-    return summarize(frame_features(done.clean, done.bad, fps=fps, **options), scales, fps, layout)
+def features_of(done: Preprocessed, scales=SCALES, layout: str = "wide", fps: float = 80.0, block: int | None = None, window: dict | None = None, **options) -> DataFrame:
+    """Window summaries of preprocessed sessions. ``options`` are those of ``frame_features``, ``window`` those of ``summarize``; with ``block`` sessions are dealt out in blocks of so many frames."""
+    window = window or {}
+    if block is None:
+        return summarize(frame_features(done.clean, done.bad, fps=fps, **options), scales, fps, layout, **window)
+    features = segments.frame_features_blocks(done.clean, done.bad, fps=fps, block=block, **options)
+    return segments.summarize_blocks(features, scales, fps, block, layout=layout, **window)
 
 
-def run(raw: DataFrame, overrides: dict | None = None, scales=SCALES, layout: str = "wide") -> dict:
+def run(raw: DataFrame, overrides: dict | None = None, scales=SCALES, layout: str = "wide", fps: float | None = None, block: int | None = None, compute: dict | None = None, window: dict | None = None, selection: dict | None = None, ready: dict | None = None) -> dict:
     """From raw samples to a selection: matrix, report, kept features, readiness.
 
-    With the layout wide and several scales every column is missing in the rows of the other scales, so no feature passes the
-    limit on missing values; per_scale shares the columns.
+    ``compute``, ``window``, ``selection`` and ``ready`` hold options of ``frame_features``, ``summarize``, ``select_features`` and ``readiness``; fps
+    is that of the data unless given. With the layout wide and several scales every column is missing in the rows of the other
+    scales, so no feature passes the limit on missing values; per_scale shares the columns.
     """
-    done = preprocess(raw, overrides)
-    matrix = features_of(done, scales, layout)
+    p = overrides if isinstance(overrides, Params) else Params.of(overrides)
+    fps = p.data.fps if fps is None else fps
+    checks.positive(fps=fps)
+    done = preprocess(raw, p)
+    matrix = written(features_of(done, scales, layout, fps, block, window, **(compute or {})))
     names = summary_names(matrix)
-    kept, scores = select_features(matrix, names)
-    return {"preprocessed": done, "matrix": matrix, "names": names, "scores": scores, "kept": kept, "selected": matrix.select(*META, *kept), "report": inspect(matrix, kept) if kept else None, "readiness": readiness(matrix, names, kept)}
+    kept, scores = select_features(matrix, names, **(selection or {}))
+    state = readiness(matrix, names, kept, **(ready or {}))
+    return {"preprocessed": done, "matrix": matrix, "names": names, "scores": scores, "kept": kept, "selected": matrix.select(*META, *kept), "report": inspect(matrix, kept) if kept else None, "inspection": inspect(matrix, names) if names else None, "readiness": state, "checks": readiness_checks(state)}

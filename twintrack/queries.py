@@ -252,6 +252,12 @@ def win_prefix(p):
     return _scale(p, "numeric", 0.5, ["mean", "std", "slope"], method="prefix")
 
 
+@query
+def win_extremes(p):
+    """Least and largest values by running extremes of pieces."""
+    return _scale(p, "numeric", 0.5, ["min", "max"], method="prefix")
+
+
 @query
 def win_boolean(p):
     return _scale(p, "boolean", 0.5)
