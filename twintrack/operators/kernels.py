@@ -7,6 +7,10 @@ import math
 import numpy as np
 
 
+#: Points on either side of a gap that its curve is drawn through. A farther one counts for less than 2^-REACH.
+REACH = 80
+
+
 def widen(mask: np.ndarray, half: int) -> np.ndarray:
     out = mask.copy()
     for k in range(1, half + 1):
@@ -78,15 +82,27 @@ def _spline(h: np.ndarray, d: np.ndarray) -> np.ndarray:
         # a parabola through three points
         c = (d[1] - d[0]) / (h[0] + h[1])
         return np.array([d[0] - c * h[0], d[0] + c * h[0], d[1] + c * h[1]])
-    a, r = np.zeros((n, n)), np.zeros(n)
-    for i in range(1, n - 1):
-        a[i, i - 1 : i + 2] = h[i], 2 * (h[i - 1] + h[i]), h[i - 1]
-        r[i] = 3 * (h[i] * d[i - 1] + h[i - 1] * d[i])
-    a[0, :2] = h[1], h[0] + h[1]
+    below, middle, above, r = np.zeros(n), np.zeros(n), np.zeros(n), np.zeros(n)
+    below[1:-1], middle[1:-1], above[1:-1] = h[1:], 2 * (h[:-1] + h[1:]), h[:-1]
+    r[1:-1] = 3 * (h[1:] * d[:-1] + h[:-1] * d[1:])
+    middle[0], above[0] = h[1], h[0] + h[1]
     r[0] = ((h[0] + 2 * (h[0] + h[1])) * h[1] * d[0] + h[0] ** 2 * d[1]) / (h[0] + h[1])
-    a[-1, -2:] = h[-1] + h[-2], h[-2]
+    below[-1], middle[-1] = h[-1] + h[-2], h[-2]
     r[-1] = (h[-1] ** 2 * d[-2] + (2 * (h[-1] + h[-2]) + h[-1]) * h[-2] * d[-1]) / (h[-1] + h[-2])
-    return np.linalg.solve(a, r)
+    return three_bands(below, middle, above, r)
+
+
+def three_bands(below: np.ndarray, middle: np.ndarray, above: np.ndarray, r: np.ndarray) -> np.ndarray:
+    """Solution of a system with three diagonals, in place of a full matrix."""
+    lo, mid, up, x = below.tolist(), middle.tolist(), above.tolist(), r.tolist()
+    for i in range(1, len(x)):
+        f = lo[i] / mid[i - 1]
+        mid[i] -= f * up[i - 1]
+        x[i] -= f * x[i - 1]
+    x[-1] /= mid[-1]
+    for i in range(len(x) - 2, -1, -1):
+        x[i] = (x[i] - up[i] * x[i + 1]) / mid[i]
+    return np.array(x)
 
 
 def jump_mask(x: np.ndarray, y: np.ndarray, t: np.ndarray, valid: np.ndarray, jump, limit: float) -> np.ndarray:
@@ -129,9 +145,11 @@ def fill_track(x: np.ndarray, y: np.ndarray, t: np.ndarray, gaps, limit: int) ->
         at_end = s == 0 or e == x.size
         if e - s > limit or at_end and not gaps.fill_ends:
             continue
-        good = np.isfinite(x) & np.isfinite(y)
-        if good.sum() < gaps.min_points_for_interp:
+        good = np.flatnonzero(np.isfinite(x) & np.isfinite(y))
+        if good.size < gaps.min_points_for_interp:
             continue
+        k = int(np.searchsorted(good, s))
+        good = good[max(0, k - REACH) : k + REACH]
         x[s:e] = interpolated(t[good], x[good], t[s:e], gaps.method)
         y[s:e] = interpolated(t[good], y[good], t[s:e], gaps.method)
         filled[s:e] = np.isfinite(x[s:e]) & np.isfinite(y[s:e])
@@ -145,35 +163,55 @@ def butterworth(fc: float, fps: float) -> tuple[np.ndarray, np.ndarray]:
     return np.array([k * k, 2 * k * k, k * k]) * n, np.array([1.0, 2 * (k * k - 1) * n, (1 - math.sqrt(2) * k + k * k) * n])
 
 
-def _filter(b: np.ndarray, a: np.ndarray, x: np.ndarray, z1: float, z2: float) -> np.ndarray:
-    out = np.empty(x.size)
-    for i, v in enumerate(x.tolist()):
-        y = b[0] * v + z1
-        z1 = b[1] * v - a[1] * y + z2
-        z2 = b[2] * v - a[2] * y
-        out[i] = y
-    return out
+def recursive(b: np.ndarray, a: np.ndarray, x: np.ndarray, z: np.ndarray) -> np.ndarray:
+    """Second-order recursive filter of the columns of ``x`` (n, k) from the states ``z`` (2, k), as a scan over blocks.
+
+    The state moves by a 2x2 matrix and the input, so blocks of about sqrt(n) samples are filtered side by side from rest, the
+    states at their borders follow from the matrix to the power of a block's length, and what a block's first state adds to each
+    sample is a row of a lower power: 2 sqrt(n) steps in place of n.
+    """
+    n, k = x.shape
+    size = max(1, math.isqrt(n))
+    blocks = -(-n // size)
+    v = np.zeros((blocks * size, k))
+    v[:n] = x
+    v = v.reshape(blocks, size, k)
+    step = np.array([[-a[1], 1.0], [-a[2], 0.0]])
+    enter = np.array([b[1] - a[1] * b[0], b[2] - a[2] * b[0]])
+    out, rest = np.empty_like(v), np.zeros((2, blocks, k))
+    seen, power = np.empty((size, 2)), np.eye(2)
+    for t in range(size):
+        out[:, t] = b[0] * v[:, t] + rest[0]
+        rest = np.einsum("ij,jbk->ibk", step, rest) + enter[:, None, None] * v[:, t]
+        seen[t] = power[0]
+        power = step @ power
+    starts = np.empty((blocks, 2, k))
+    for j in range(blocks):
+        starts[j] = z
+        z = power @ z + rest[:, j]
+    return (out + np.einsum("ti,bik->btk", seen, starts)).reshape(-1, k)[:n]
 
 
 def zero_phase(x: np.ndarray, fc: float, fps: float) -> np.ndarray:
-    """Forward and backward, over an odd reflection of six samples at either end, from the steady state."""
+    """Forward and backward, over an odd reflection of six samples at either end, from the steady state. One or more columns."""
     b, a = butterworth(fc, fps)
     pad = 6
-    ext = np.concatenate([2 * x[0] - x[pad:0:-1], x, 2 * x[-1] - x[-2 : -pad - 2 : -1]])
+    c = x.reshape(len(x), -1)
+    ext = np.concatenate([2 * c[0] - c[pad:0:-1], c, 2 * c[-1] - c[-2 : -pad - 2 : -1]])
     # state in which a constant input stays as it is
     z2 = b[2] - a[2]
-    z1 = b[1] - a[1] + z2
-    forth = _filter(b, a, ext, z1 * ext[0], z2 * ext[0])
+    still = np.array([[b[1] - a[1] + z2], [z2]])
+    forth = recursive(b, a, ext, still * ext[0])
     back = forth[::-1]
-    return _filter(b, a, back, z1 * back[0], z2 * back[0])[::-1][pad:-pad]
+    return recursive(b, a, back, still * back[0])[::-1][pad:-pad].reshape(x.shape)
 
 
 def lowpass(x: np.ndarray, fc: float, fps: float, n_pad: int) -> np.ndarray:
-    """Zero-phase filter of one segment; its outer ``n_pad`` samples stay. Segments that can't be filtered stay."""
-    if x.size <= 6 or fc >= fps / 2:
+    """Zero-phase filter of one segment, of one or more columns; its outer ``n_pad`` samples stay. Segments that can't be filtered stay."""
+    if len(x) <= 6 or fc >= fps / 2:
         return x
     y = zero_phase(x, fc, fps)
-    n = min(n_pad, x.size)
+    n = min(n_pad, len(x))
     if n:
         y[:n], y[-n:] = x[:n], x[-n:]
     return y
@@ -183,8 +221,8 @@ def smooth_track(x: np.ndarray, y: np.ndarray, repaired: np.ndarray, smooth, fc:
     gap = ~(np.isfinite(x) & np.isfinite(y))
     if smooth.break_at_repaired_points:
         gap |= widen(repaired, smooth.repair_break_halfwidth)
-    x, y = x.copy(), y.copy()
+    xy = np.column_stack([x, y])
     for s, e in runs(~gap):
         if e - s >= smooth.min_segment_length:
-            x[s:e], y[s:e] = lowpass(x[s:e], fc, fps, smooth.n_pad), lowpass(y[s:e], fc, fps, smooth.n_pad)
-    return x, y
+            xy[s:e] = lowpass(xy[s:e], fc, fps, smooth.n_pad)
+    return xy[:, 0].copy(), xy[:, 1].copy()
