@@ -75,6 +75,10 @@ def inverse(df: np.ndarray, n: int) -> np.ndarray:
     return np.log((1 + n) / (1 + df)) + 1
 
 
+#: Rows of the table that are looked up at once.
+_LOOKUPS = 8192
+
+
 class Model:
     """``table``: per bucket the logit shares of the languages (idf times weight), ``bias``: theirs, ``t``: the temperature."""
 
@@ -84,9 +88,16 @@ class Model:
     def logits(self, text: bytes) -> np.ndarray:
         total, n = np.zeros(len(self.langs)), 0
         for g in ngrams(text):
-            # a table lookup for each n-gram, summed for each language
-            total += self.table[g].sum(0, dtype=np.float64)
             n += g.size
+            if g.size <= _LOOKUPS:
+                # a table lookup for each n-gram, summed for each language
+                total += self.table[g].sum(0, dtype=np.float64)
+                continue
+            # of many, each bucket once, times its count; a few rows of the table at a time
+            count = np.bincount(g, minlength=SIZE)
+            at = np.flatnonzero(count)
+            for s in range(0, at.size, _LOOKUPS):
+                total += count[at[s : s + _LOOKUPS]] @ self.table[at[s : s + _LOOKUPS]].astype(np.float64)
         return total * (_SCALE / max(1, n)) + self.bias
 
     def predict(self, text: bytes | None) -> tuple[str, float]:
