@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from ..functions.core import moving_mean, series
+from ..sources.scratch import written
 from . import runs
 from .frames import FEATURES, SMOOTHED, raw_features, wide_points
 from .windows import SCALES, frames_of, summarize
@@ -23,22 +24,29 @@ from .windows import SCALES, frames_of, summarize
 BLOCK = 72_000
 
 
-def spans(df: DataFrame, keys: list[str], dense: bool | None = None) -> DataFrame:
-    """(_session, lo, hi, dense) by session; dense: every series of ``keys`` has each frame of the session once. ``dense`` True: known to be so."""
-    count = [] if dense else [F.count("*").alias("n"), F.countDistinct("frame").alias("d")]
-    per = df.groupBy(*keys).agg(F.min("frame").alias("lo"), F.max("frame").alias("hi"), *count)
-    fine = F.lit(True) if dense else F.bool_and((F.col("n") == F.col("d")) & (F.col("n") == F.col("hi") - F.col("lo") + 1)) & (F.min("lo") == F.max("lo")) & (F.min("hi") == F.max("hi"))
-    return per.groupBy(F.col("session_idx").alias("_session")).agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), fine.alias("dense"))
+def spans(df: DataFrame, keys: list[str]) -> DataFrame:
+    """(_session, lo, hi, dense) by session, written; dense: every series of ``keys`` has each frame of the session once.
+
+    What is computed from a table with the same frames can be dealt out by the same spans.
+    """
+    per = df.groupBy(*keys).agg(F.min("frame").alias("lo"), F.max("frame").alias("hi"), F.count("*").alias("n"), F.countDistinct("frame").alias("d"))
+    fine = F.bool_and((F.col("n") == F.col("d")) & (F.col("n") == F.col("hi") - F.col("lo") + 1)) & (F.min("lo") == F.max("lo")) & (F.min("hi") == F.max("hi"))
+    return written(per.groupBy(F.col("session_idx").alias("_session")).agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), fine.alias("dense")))
+
+
+def frame_spans(pose: DataFrame) -> DataFrame:
+    """Spans for features, which have a row for each frame of ``pose`` if every track has one."""
+    return spans(pose, runs.TRACK)
 
 
-def dealt(df: DataFrame, keys: list[str], before: int = 0, after: int = 0, block: int = BLOCK, dense: bool | None = None) -> DataFrame:
+def dealt(df: DataFrame, keys: list[str], before: int = 0, after: int = 0, block: int = BLOCK, known: DataFrame | None = None) -> DataFrame:
     """``df`` with ``session_idx`` as a struct (session, block, first, last): a part of the session with ``before`` rows ahead of its frames and ``after`` rows behind.
 
-    Any operator that partitions by session_idx then works on blocks; ``own`` keeps the rows of the frames first to last.
+    ``known``: the ``spans`` of the frames, if they are known already. Any operator that partitions by session_idx then works on blocks; ``own`` keeps the rows of the frames first to last.
     """
     if block < 1 or before < 0 or after < 0:
         raise ValueError("a block has one frame at least, a halo none at least")
-    known = spans(df, keys, dense)  # a row for each session
+    known = spans(df, keys) if known is None else known  # a row for each session
     at = F.col("frame") - F.col("lo")
     last = F.floor((F.col("hi") - F.col("lo")) / block)
     floor = lambda x: F.floor(x / block)
@@ -56,26 +64,27 @@ def own(df: DataFrame, frame: str = "frame") -> DataFrame:
     return df.where(F.col(frame).between(s["first"], s["last"])).withColumn("session_idx", s["session"])
 
 
-def in_blocks(df: DataFrame, work: Callable[[DataFrame], DataFrame], before: int, after: int, keys: list[str] | None = None, block: int = BLOCK, frame: str = "frame", dense: bool | None = None) -> DataFrame:
+def in_blocks(df: DataFrame, work: Callable[[DataFrame], DataFrame], before: int, after: int, keys: list[str] | None = None, block: int = BLOCK, frame: str = "frame", known: DataFrame | None = None) -> DataFrame:
     """``work`` applied to blocks: equal to ``work(df)`` if each row of it depends on ``before`` rows ahead and ``after`` rows behind in its series."""
-    return own(work(dealt(df, keys or ["session_idx"], before, after, block, dense)), frame)
+    return own(work(dealt(df, keys or ["session_idx"], before, after, block, known)), frame)
 
 
-def summarize_blocks(features: DataFrame, scales=SCALES, fps: float = 80.0, block: int = BLOCK, dense: bool | None = None, **options) -> DataFrame:
+def summarize_blocks(features: DataFrame, scales=SCALES, fps: float = 80.0, block: int = BLOCK, known: DataFrame | None = None, **options) -> DataFrame:
     """``windows.summarize`` on blocks; the halo is that of the longest window."""
     reach = [frames_of(s, fps) for s in scales]
-    return in_blocks(features, lambda d: summarize(d, scales, fps, **options), max(r[1] for r in reach), max(r[2] for r in reach), block=block, frame="center_frame", dense=dense)
+    return in_blocks(features, lambda d: summarize(d, scales, fps, **options), max(r[1] for r in reach), max(r[2] for r in reach), block=block, frame="center_frame", known=known)
 
 
-def frame_features_blocks(pose: DataFrame, bad: DataFrame | None = None, nodes: dict[str, int] | None = None, fps: float = 80.0, px2mm: float = 1.0, contact_mm: float = 30.0, close_mm: float = 60.0, span: int = 5, block: int = BLOCK, dense: bool | None = None) -> DataFrame:
+def frame_features_blocks(pose: DataFrame, bad: DataFrame | None = None, nodes: dict[str, int] | None = None, fps: float = 80.0, px2mm: float = 1.0, contact_mm: float = 30.0, close_mm: float = 60.0, span: int = 5, block: int = BLOCK, known: DataFrame | None = None) -> DataFrame:
     """``frames.frame_features`` on blocks. Which series are flags, and not smoothed, is settled for whole sessions first."""
+    known = frame_spans(pose) if known is None else known
     wide = wide_points(pose, nodes)
-    raw = in_blocks(wide, lambda d: raw_features(d, fps, px2mm, contact_mm, close_mm), 2, 0, block=block, dense=dense)
+    raw = in_blocks(wide, lambda d: raw_features(d, fps, px2mm, contact_mm, close_mm), 2, 0, block=block, known=known)
     if span > 1:
         flags = raw.groupBy("session_idx").agg(*[F.coalesce(F.bool_and(F.col(f).isin(0.0, 1.0)), F.lit(True)).alias(f"_flag_{f}") for f in SMOOTHED])
         w = series("session_idx")
         smooth = lambda d: d.select("session_idx", "frame", "time_s", "core", *[moving_mean(F.col(f), span, w).alias(f"_m_{f}") for f in SMOOTHED], *FEATURES)
-        rows = in_blocks(raw, smooth, span // 2, (span - 1) // 2, block=block, dense=dense).join(flags, "session_idx")
+        rows = in_blocks(raw, smooth, span // 2, (span - 1) // 2, block=block, known=known).join(flags, "session_idx")
         raw = rows.select("session_idx", "frame", "time_s", "core", *[F.when(F.col(f"_flag_{f}"), F.col(f)).otherwise(F.col(f"_m_{f}")).alias(f) if f in SMOOTHED else F.col(f) for f in FEATURES])
     ok = F.col("core")
     if bad is not None:
@@ -85,19 +94,19 @@ def frame_features_blocks(pose: DataFrame, bad: DataFrame | None = None, nodes:
     return raw.select("session_idx", "frame", "time_s", ok.alias("frame_ok"), *FEATURES)
 
 
-def displacement_blocks(pose: DataFrame, to: str = "disp", block: int = BLOCK, dense: bool | None = None) -> DataFrame:
+def displacement_blocks(pose: DataFrame, to: str = "disp", block: int = BLOCK, known: DataFrame | None = None) -> DataFrame:
     """``runs.displacement`` on blocks."""
-    return in_blocks(pose, lambda d: runs.displacement(d, to), 1, 0, runs.TRACK, block, dense=dense)
+    return in_blocks(pose, lambda d: runs.displacement(d, to), 1, 0, runs.TRACK, block, known=known)
 
 
-def dilate_blocks(df: DataFrame, mask: str, half: int, keys: list[str], to: str, block: int = BLOCK, dense: bool | None = None) -> DataFrame:
+def dilate_blocks(df: DataFrame, mask: str, half: int, keys: list[str], to: str, block: int = BLOCK, known: DataFrame | None = None) -> DataFrame:
     """``runs.dilate`` on blocks; the first of ``keys`` is session_idx."""
-    return in_blocks(df, lambda d: runs.dilate(d, mask, half, keys, to), half, half, keys, block, dense=dense)
+    return in_blocks(df, lambda d: runs.dilate(d, mask, half, keys, to), half, half, keys, block, known=known)
 
 
-def find_runs_blocks(df: DataFrame, mask: str, keys: list[str], block: int = BLOCK, dense: bool | None = None) -> DataFrame:
+def find_runs_blocks(df: DataFrame, mask: str, keys: list[str], block: int = BLOCK, known: DataFrame | None = None) -> DataFrame:
     """``runs.find_runs`` on blocks: runs that touch a border are joined with what goes on behind it, two rows a block at most."""
-    parts = runs.find_runs(dealt(df, keys, block=block, dense=dense), mask, keys)
+    parts = runs.find_runs(dealt(df, keys, block=block, known=known), mask, keys)
     s, rest = F.col("session_idx"), keys[1:]
     parts = parts.select(s["session"].alias("session_idx"), s["block"].alias("_block"), *rest, "run_start", "run_stop", "run_length", (F.col("run_start") == s["first"]).alias("_left"), (F.col("run_stop") == s["last"]).alias("_right"))
     inner = parts.where(~(F.col("_left") | F.col("_right"))).select(*keys, "run_start", "run_stop", "run_length")
@@ -118,14 +127,14 @@ _KINDS = {
 }
 
 
-def running(df: DataFrame, wanted: list[tuple[str, str, str]], keys: list[str], block: int = BLOCK, dense: bool | None = None) -> DataFrame:
+def running(df: DataFrame, wanted: list[tuple[str, str, str]], keys: list[str], block: int = BLOCK, known: DataFrame | None = None) -> DataFrame:
     """Adds a column for each (value, name, kind) of ``wanted``: the sum, count, last, min or max of value (nulls left out) from a series' first frame to the row's own.
 
     Each block passes one row on; prefixes over these rows are joined back. Sums and counts of nothing are 0, the others null.
     """
     if unknown := {k for _, _, k in wanted} - set(_KINDS):
         raise ValueError(f"unknown kinds {sorted(unknown)}")
-    rows = dealt(df, keys, block=block, dense=dense)
+    rows = dealt(df, keys, block=block, known=known)
     rest, s = keys[1:], F.col("session_idx")
     own_rows = series(*keys).rowsBetween(Window.unboundedPreceding, 0)
     last = lambda c: F.last(c, ignorenulls=True)

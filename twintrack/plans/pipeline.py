@@ -72,8 +72,9 @@ def features_of(done: Preprocessed, scales=SCALES, layout: str = "wide", fps: fl
     window = window or {}
     if block is None:
         return summarize(frame_features(done.clean, done.bad, fps=fps, **options), scales, fps, layout, **window)
-    features = segments.frame_features_blocks(done.clean, done.bad, fps=fps, block=block, **options)
-    return segments.summarize_blocks(features, scales, fps, block, layout=layout, **window)
+    known = segments.frame_spans(done.clean)
+    features = segments.frame_features_blocks(done.clean, done.bad, fps=fps, block=block, known=known, **options)
+    return segments.summarize_blocks(features, scales, fps, block, known, layout=layout, **window)
 
 
 def run(raw: DataFrame, overrides: dict | None = None, scales=SCALES, layout: str = "wide", fps: float | None = None, block: int | None = None, compute: dict | None = None, window: dict | None = None, selection: dict | None = None, ready: dict | None = None) -> dict:

@@ -430,8 +430,9 @@ SHORT = 60
 
 def _summary_blocks(p, kind: str, seconds: float, stats: list[str] | None = None, full: bool = False, method: str = "sliding"):
     names = {"numeric": frames.NUMERIC, "boolean": frames.BOOLEAN, "circular": frames.CIRCULAR}[kind]
-    f = segments.frame_features_blocks(p, block=SHORT)
-    return segments.summarize_blocks(f, (seconds,), block=SHORT, names=names, stats=windows.STATS | ({kind: stats} if stats else {}), full=full, method=method).drop("center_time_s")
+    known = segments.frame_spans(p)
+    f = segments.frame_features_blocks(p, block=SHORT, known=known)
+    return segments.summarize_blocks(f, (seconds,), block=SHORT, known=known, names=names, stats=windows.STATS | ({kind: stats} if stats else {}), full=full, method=method).drop("center_time_s")
 
 
 @query
@@ -477,6 +478,7 @@ def block_displacement(p):
 @query
 def block_running(p):
     """How many samples a track has had, how far it has come, and where it was last."""
-    made = segments.displacement_blocks(p, block=SHORT)
-    made = segments.running(made, [("x", "seen", "count"), ("disp", "path", "sum"), ("x", "last_x", "last"), ("y", "max_y", "max")], runs.TRACK, SHORT)
+    known = segments.spans(p, runs.TRACK)
+    made = segments.displacement_blocks(p, block=SHORT, known=known)
+    made = segments.running(made, [("x", "seen", "count"), ("disp", "path", "sum"), ("x", "last_x", "last"), ("y", "max_y", "max")], runs.TRACK, SHORT, known)
     return made.select(*KEYS, "seen", "path", "last_x", "max_y")
