@@ -248,7 +248,7 @@ def test_files(spark, tmp_path):
 # -- features
 
 
-def dyad(spark):
+def pair(spark):
     rows = []
     for k in range(40):
         for a, pts in ((1, {1: k, 9: k - 5, 10: k - 10, 13: k - 7}), (2, {1: 50, 9: 45, 10: 40, 13: 43})):
@@ -257,15 +257,15 @@ def dyad(spark):
 
 
 def test_pair_features(spark):
-    f = by_frame(frames.frame_features(dyad(spark)), "centroid_dist", "approach_speed_1", "in_contact", "close_pair", "facing_1_to_2", "facing_2_to_1", "mutual_facing", "speed_alignment", "asym_investigate", "frame_ok")
+    f = by_frame(frames.frame_features(pair(spark)), "centroid_dist", "approach_speed_1", "in_contact", "close_pair", "facing_1_to_2", "facing_2_to_1", "mutual_facing", "speed_alignment", "asym_investigate", "frame_ok")
     assert [f[k][0] for k in (1, 2, 3, 4, 39, 40)] == pytest.approx([49, 48.5, 48, 47, 12.5, 12])
     assert [f[k][1] for k in (1, 2, 3, 4)] == pytest.approx([53.333333, 60, 64, 80], abs=1e-5)
     assert [k for k in f if f[k][2] == 1.0] == list(range(21, 41)) and all(v[3] == 1.0 for v in f.values())
     assert f[10][4:7] == pytest.approx((1, -1, -1)) and f[10][7] is None and f[10][8] == 1.0 and f[10][9]
-    raw = frames.raw_features(frames.wide_points(dyad(spark)))
+    raw = frames.raw_features(frames.wide_points(pair(spark)))
     assert raw.where("abs(approach_speed_1 - approach_speed_2) > 1e-9 or abs(approach_speed_1 + radial_speed_12) > 1e-9").count() == 0
     bad = spark.createDataFrame([(1, 5, True), (1, 6, False)], "session_idx int, frame int, bad boolean")
-    ok = by_frame(frames.frame_features(dyad(spark), bad), "frame_ok")
+    ok = by_frame(frames.frame_features(pair(spark), bad), "frame_ok")
     assert not ok[5] and ok[6] and ok[7]
 
 
