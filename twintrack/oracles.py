@@ -421,3 +421,20 @@ ORACLE_SQL |= {
 }
 
 ORACLE_SQL["win_extremes"] = scale_query(0.5, [(f, s) for f in NUMERIC for s in ("min", "max")])
+
+
+def histogram_parts(src: str, keys: str, bins: int) -> dict:
+    return {
+        "hl": src,
+        "he": f"select {keys}, min(v) lo, max(v) hi, (max(v) - min(v)) / {bins} w, count(v) n from hl group by all",
+        "hb": f"select {keys}, case when hi = lo then 1 else least({bins}, floor((v - lo) / nullif(w, 0))::bigint + 1) end bin, lo, w, n from hl join he using ({keys})",
+        "hh": f"select {keys}, bin, {r('any_value(lo) + (bin - 1) * any_value(w)')} low, {r('any_value(lo) + bin * any_value(w)')} high, count(*) count, {r(f'count(*){D} / any_value(n)')} share from hb group by {keys}, bin",
+    }
+
+
+ORACLE_SQL |= {
+    "qc_histograms": with_(animals() | histogram_parts(" union all ".join(f"select '{m}' metric, {m}{D} v from an where {m} is not null" for m in METRICS), "metric", 25), "select * from hh"),
+    "step_histograms": with_(POSE | disp("pose") | histogram_parts("select session_idx, animal, 'disp' metric, disp v from moved where node = 9 and disp is not null", "session_idx, animal, metric", 120), "select * from hh"),
+    "track_extents": with_(POSE | {"ends": "select session_idx, min(frame) lo, max(frame) hi from pose group by all"}, f"""select {TRACK}, floor((frame - lo) * 40 / (hi - lo + 1))::integer pixel, min(frame) first_frame, max(frame) last_frame,
+      {r('min(x)')} min_x, {r('max(x)')} max_x, {r('min(y)')} min_y, {r('max(y)')} max_y, count(x) n from pose join ends using (session_idx) group by {TRACK}, pixel"""),
+}

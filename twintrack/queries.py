@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .functions.core import hazen, moving_mean, series
-from .operators import clean, frames, qc, runs, segments, select, windows
+from .operators import clean, figures, frames, qc, runs, segments, select, windows
 from .params import Params
 from .plans import pipeline
 from .sources import pose as source
@@ -201,6 +201,22 @@ def qc_histogram(p):
     return big(qc.histogram(runs.displacement(p), "disp", 25), "bin", "count")
 
 
+@query
+def qc_histograms(p):
+    """All metrics of the review at once."""
+    return big(figures.histograms(_animals(p), qc.METRICS), "bin", "count")
+
+
+@query
+def step_histograms(p):
+    return big(figures.step_histograms(p, 9), "bin", "count")
+
+
+@query
+def track_extents(p):
+    return big(figures.extents(p, 40), "n")
+
+
 def _features(p, **options):
     return frames.frame_features(p, **options)
 
