@@ -15,6 +15,7 @@ single chunk. Characters without a piece become byte pieces, or the unknown piec
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import itertools
 import re
@@ -25,11 +26,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import kept, settle, small_batches
+from .common import kept, settle, slices, small_batches
 
 #: Characters of a chunk.
 CHUNK = 32_768
 _CACHE, _PAIRS = 300_000, 300_000
+#: Most characters of a word that is merged side by side with others, fewest such words, and characters of texts whose words are looked at together.
+_SIDE, _FEW, _TOGETHER = 63, 16, 1 << 20
 MARK = "▁"
 _NONE, _INF = float("-inf"), float("inf")
 UNIGRAM, BPE = 1, 2
@@ -66,6 +69,26 @@ class Vocabulary:
         self.words = not any(MARK in p.lstrip(MARK) for p in self.ids)
         self.lowest = min((self.scores[i] for i in self.ids.values()), default=0.0) - 10.0
 
+    @functools.cached_property
+    def merges(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Id by code point, and what two pieces merge into: sorted pairs, left << 32 | right, and rank of the score << 32 | piece of each.
+
+        A character of no piece has an id beyond all pieces and merges with nothing; one that only longer pieces have has -1.
+        """
+        char = len(self.text) + np.arange(0x110000)
+        char[[ord(c) for c in set().union(*self.ids)]] = -1
+        rank = {x: k for k, x in enumerate(sorted({self.scores[i] for i in self.ids.values()}))}
+        pairs = {}
+        for text, i in self.ids.items():
+            if len(text) == 1:
+                char[ord(text)] = i
+            for k in range(1, len(text)):
+                a, b = self.ids.get(text[:k]), self.ids.get(text[k:])
+                if a is not None and b is not None:
+                    pairs[a << 32 | b] = rank[self.scores[i]] << 32 | i
+        keys = np.array(sorted(pairs) or [-1], np.int64)
+        return char, keys, np.array([pairs.get(k, -1) for k in keys.tolist()], np.int64)
+
     @classmethod
     def load(cls, model: bytes) -> Vocabulary:
         from sentencepiece import sentencepiece_model_pb2
@@ -308,6 +331,58 @@ class Coder:
             prev = i
         return struct.pack(f"<{len(path)}i", *path) if min(path) >= 0 else self.emit(path)
 
+    def learn(self, words) -> None:
+        """Remember the ids of many words of a byte-pair model. Short ones are merged side by side."""
+        if len(self.memo) > _CACHE // 2:  # room for what the next words add
+            self.memo = _newer_half(self.memo)
+        new = [w for w in words if len(w) <= _SIDE and w not in self.memo]
+        if len(new) < _FEW:
+            return
+        sizes = np.fromiter(map(len, new), np.int64, len(new))
+        starts = np.cumsum(sizes) - sizes
+        ids = self.v.merges[0][np.frombuffer("".join(new).encode("utf-32-le", "surrogatepass"), np.uint32)]
+        plain = np.minimum.reduceat(ids, starts) >= 0
+        for k, got in self._merged_all(ids, starts, sizes, plain):
+            self.memo[new[k]] = got
+
+    def _merged_all(self, ids: np.ndarray, starts: np.ndarray, sizes: np.ndarray, plain: np.ndarray):
+        """(number, ids) of the ``plain`` words. A merge makes a word one piece shorter, so all words of as many pieces take a step at once."""
+        most = int(sizes.max())
+        rows, parts, best = np.empty(0, np.int64), np.empty((0, most), np.int64), np.empty((0, most - 1), np.int64)
+        for n in range(most, 0, -1):
+            more = np.flatnonzero(plain & (sizes == n))
+            now = ids[starts[more][:, None] + np.arange(n)]
+            rows, parts = np.concatenate([rows, more]), np.concatenate([parts, now])
+            best = np.concatenate([best, self._merge(now[:, :-1], now[:, 1:])])
+            # the best score, the leftmost of equal ones
+            at = (best >> 32).argmax(1) if n > 1 else np.zeros(rows.size, np.int64)
+            new = best[np.arange(rows.size), at] if n > 1 else np.full(rows.size, -1)
+            done = new < 0
+            flat = parts[done].astype("<i4").tobytes()
+            size = len(self.v.text)
+            strange = (parts[done] >= size).any(1).tolist()
+            for j, k in enumerate(rows[done].tolist()):
+                got = flat[j * 4 * n : (j + 1) * 4 * n]
+                yield k, self.emit([i if i < size else ~(i - size) for i in struct.unpack(f"<{n}i", got)]) if strange[j] else got
+            rows, parts, best, at, new = rows[~done], parts[~done], best[~done], at[~done], new[~done]
+            if n == 1:
+                return
+            every, cols = np.arange(rows.size), np.arange(n - 1)
+            parts = parts[every[:, None], cols + (cols > at[:, None])]
+            parts[every, at] = new & 0xFFFFFFFF
+            cols = cols[:-1]
+            best = best[every[:, None], cols + (cols >= at[:, None])]
+            left, right = np.flatnonzero(at > 0), np.flatnonzero(at < n - 2)
+            best[left, at[left] - 1] = self._merge(parts[left, at[left] - 1], parts[left, at[left]])
+            best[right, at[right]] = self._merge(parts[right, at[right]], parts[right, at[right] + 1])
+
+    def _merge(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Rank and piece of what neighbours merge into, -1 for nothing."""
+        _, keys, values = self.v.merges
+        want = a << 32 | b
+        k = np.minimum(np.searchsorted(keys, want), keys.size - 1)
+        return np.where(keys[k] == want, values[k], -1)
+
     def _from(self, text: str, q: int) -> list[int]:
         """Piece and end, one after the other, of the pieces that start at q, the longest last."""
         known, out = self.v.known, []
@@ -326,8 +401,22 @@ class Coder:
         t = self.marked(text)
         if not self.v.words:
             return self.emit(self.trace(self.walk(t, 0, len(t), None), len(t))) if t else b""
+        return self._joined(self.split.findall(t))
+
+    def _joined(self, words: list[str]) -> bytes:
         get, word = self.memo.get, self.word  # if the memory is renewed meanwhile, word() looks in the new one
-        return b"".join([get(w) or word(w) for w in self.split.findall(t)])
+        return b"".join([get(w) or word(w) for w in words])
+
+    def encode_all(self, texts: list[str | None]) -> list[bytes | None]:
+        """``encode`` of many texts; their new words are solved together."""
+        if not self.v.words or self.v.kind != BPE:
+            return [None if t is None else self.encode(t) for t in texts]
+        out: list[bytes | None] = []
+        for s, e in slices([len(t or "") for t in texts], _TOGETHER):
+            words = [None if t is None else self.split.findall(self.marked(t)) for t in texts[s:e]]
+            self.learn(set(itertools.chain.from_iterable(w for w in words if w)))
+            out += [None if w is None else self._joined(w) for w in words]
+        return out
 
     # -- chunks
 
@@ -387,7 +476,10 @@ class Coder:
             return self.emit(self.trace(self.walk(text, begin, b, prev), end)) if begin < b else b""
         head = self.emit(self.trace(self.walk(text, begin, first, prev), first))
         tail = self.emit(self.trace(self.walk(text, last, b, None), end)) if last < b else b""
-        return head + b"".join([self.word(w) for w in self.split.findall(text[first:last])]) + tail
+        words = self.split.findall(text[first:last])
+        if self.v.kind == BPE:
+            self.learn(set(words))
+        return head + self._joined(words) + tail
 
 
 def product(a: dict, b: dict) -> dict:
@@ -558,7 +650,7 @@ def encode(docs: DataFrame, model: str | None = None, chunk: int = CHUNK, decode
     def whole(batches):
         coder = coder_of(shared.value)
         for b in batches:
-            ids = [None if t is None else coder.encode(t) for t in b.column(at).to_pylist()]
+            ids = coder.encode_all(b.column(at).to_pylist())
             back = [pa.array([None if x is None else coder.decode(np.frombuffer(x, "<i4")) for x in ids], pa.string())] if decoded else []
             yield pa.record_batch([*b.columns, _lists(ids), *back], [*b.schema.names, "ids", *([decoded] if decoded else [])])
 
