@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.core import hazen, hazen_of, norm, series, step, yes
 from ..params import Params, by_node
+from ..sources.scratch import written
 from . import kernels
 from .runs import TRACK, fill_gaps, jump_candidates
 
@@ -123,22 +125,40 @@ def mask_arena(pose: DataFrame, p: Params | None = None, geom: str | None = None
 
 
 def _grouped(pose: DataFrame, kernel, extra: str = "") -> DataFrame:
-    """A numpy kernel on each track in order of frames."""
+    """A numpy kernel on each track, an Arrow table in order of frames."""
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pose.schema) + extra
-    return pose.groupBy(*TRACK).applyInPandas(kernel, fields)
+
+    def one(t: pa.Table) -> pa.Table:
+        return kernel(t.take(np.argsort(t["frame"].to_numpy(), kind="stable")))
+
+    return pose.groupBy(*TRACK).applyInArrow(one, fields)
+
+
+def _numbers(t: pa.Table, *names: str) -> list[np.ndarray]:
+    """Columns as doubles, NaN for null."""
+    return [np.asarray(t[n].to_numpy(), float) for n in names]
+
+
+def _with_xy(t: pa.Table, x: np.ndarray, y: np.ndarray) -> pa.Table:
+    """The track with other coordinates, null for NaN."""
+    for c, v in (("x", x), ("y", y)):
+        t = t.set_column(t.schema.get_field_index(c), c, pa.array(v, pa.float64(), from_pandas=True))
+    return t
+
+
+def _of_node(t: pa.Table, by: tuple, other):
+    """The parameter of the track's node."""
+    node = t["node"][0].as_py()
+    return by[node - 1] if node <= len(by) else other
 
 
 def jump_filter(pose: DataFrame, p: Params | None = None) -> DataFrame:
     """The iterative jump filter on each track; adds ``jump``. It only detects: coordinates stay."""
     p = p or Params()
 
-    def one(t: pd.DataFrame) -> pd.DataFrame:
-        t = t.sort_values("frame", ignore_index=True)
-        node = int(t["node"].iloc[0])
-        by = p.jump.max_disp_px_per_frame_by_node
-        limit = by[node - 1] if node <= len(by) else p.jump.max_disp_px_per_frame
-        t["jump"] = kernels.jump_mask(t["x"].to_numpy(float), t["y"].to_numpy(float), t["time_s"].to_numpy(float), ~t["excluded"].to_numpy(bool), p.jump, limit)
-        return t
+    def one(t: pa.Table) -> pa.Table:
+        limit = _of_node(t, p.jump.max_disp_px_per_frame_by_node, p.jump.max_disp_px_per_frame)
+        return t.append_column("jump", pa.array(kernels.jump_mask(*_numbers(t, "x", "y", "time_s"), ~t["excluded"].to_numpy().astype(bool), p.jump, limit)))
 
     return _grouped(pose, one, ", jump boolean")
 
@@ -147,13 +167,9 @@ def smooth(pose: DataFrame, p: Params | None = None, repaired: str = "repaired")
     """Zero-phase low-pass on each segment without missing or repaired frames; the ``n_pad`` outer samples and short segments stay."""
     p = p or Params()
 
-    def one(t: pd.DataFrame) -> pd.DataFrame:
-        t = t.sort_values("frame", ignore_index=True)
-        node = int(t["node"].iloc[0])
-        by = p.smooth.low_pass_frq_by_node
-        fc = by[node - 1] if node <= len(by) else p.smooth.low_pass_frq
-        x, y = kernels.smooth_track(t["x"].to_numpy(float), t["y"].to_numpy(float), t[repaired].to_numpy(bool), p.smooth, fc, p.data.fps)
-        return t.assign(x=pd.Series(x).astype(object).where(~pd.isna(x), None), y=pd.Series(y).astype(object).where(~pd.isna(y), None))
+    def one(t: pa.Table) -> pa.Table:
+        fc = _of_node(t, p.smooth.low_pass_frq_by_node, p.smooth.low_pass_frq)
+        return _with_xy(t, *kernels.smooth_track(*_numbers(t, "x", "y"), t[repaired].to_numpy().astype(bool), p.smooth, fc, p.data.fps))
 
     return _grouped(pose, one)
 
@@ -166,14 +182,10 @@ def interpolate(pose: DataFrame, p: Params | None = None) -> DataFrame:
     if p.gaps.method in ("linear", "nearest"):
         return fill_gaps(pose, p)
 
-    def one(t: pd.DataFrame) -> pd.DataFrame:
-        t = t.sort_values("frame", ignore_index=True)
-        node = int(t["node"].iloc[0])
-        by = p.gaps.max_gap_frames_by_node
-        limit = by[node - 1] if node <= len(by) else p.gaps.max_gap_frames
-        x, y, filled = kernels.fill_track(t["x"].to_numpy(float), t["y"].to_numpy(float), t["time_s"].to_numpy(float), p.gaps, limit)
-        none = lambda v: pd.Series(v).astype(object).where(~pd.isna(v), None)
-        return t.assign(x=none(x), y=none(y), filled=filled)
+    def one(t: pa.Table) -> pa.Table:
+        limit = _of_node(t, p.gaps.max_gap_frames_by_node, p.gaps.max_gap_frames)
+        x, y, filled = kernels.fill_track(*_numbers(t, "x", "y", "time_s"), p.gaps, limit)
+        return _with_xy(t, x, y).append_column("filled", pa.array(filled))
 
     return _grouped(pose, one, ", filled boolean")
 
@@ -183,7 +195,7 @@ def clean_tracks(pose: DataFrame, p: Params | None = None) -> DataFrame:
 
     In order: confidence, jumps (hidden, not replaced), short gaps, geometry, arena, short gaps again, smoothing. One pass of the
     jump filter (``max_iter`` 1) and everything but smoothing run as windows and aggregates; the iterated filter and the smoother
-    are grouped kernels.
+    are grouped kernels. Geometry and arena read their tracks several times over, so these are written before each.
     """
     p = p or Params()
     rows = mask_confidence(pose, p)
@@ -193,8 +205,8 @@ def clean_tracks(pose: DataFrame, p: Params | None = None) -> DataFrame:
         rows = jump_candidates(rows, p).drop("disp", "cutoff")
     else:
         rows = jump_filter(rows, p)
-    rows = interpolate(hide(rows, "jump"), p).withColumnRenamed("filled", "_first")
-    rows = mask_arena(mask_geometry(rows, p), p, "geom")
+    rows = written(interpolate(hide(rows, "jump"), p).withColumnRenamed("filled", "_first"))
+    rows = mask_arena(written(mask_geometry(rows, p)), p, "geom")
     rows = interpolate(rows, p)
     rows = rows.withColumn("interp", F.col("_first") | F.col("filled")).drop("_first", "filled")
     if p.smooth.enabled and p.smooth.method == "lowpass":

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -33,11 +34,27 @@ def validate(pose: DataFrame, animals: tuple[int, ...] = (1, 2)) -> DataFrame:
 
 @dataclass
 class Preprocessed:
+    """Cleaned tracks, written, and what follows from them, made when it is first asked for."""
+
     clean: DataFrame
-    frames: DataFrame
-    nodes: DataFrame
-    animals: DataFrame
-    missing: DataFrame
+    pose: DataFrame
+    params: Params
+
+    @cached_property
+    def frames(self) -> DataFrame:
+        return written(qc.frame_qc(self.clean, self.params))
+
+    @cached_property
+    def nodes(self) -> DataFrame:
+        return qc.node_qc(self.clean)
+
+    @cached_property
+    def animals(self) -> DataFrame:
+        return qc.animal_qc(self.frames, self.clean, self.pose if self.params.output.return_raw else None, self.params)
+
+    @cached_property
+    def missing(self) -> DataFrame:
+        return qc.missing_frames(self.pose)
 
     @property
     def bad(self) -> DataFrame:
@@ -56,11 +73,7 @@ def preprocess(raw: DataFrame, overrides: dict | Params | None = None, check: bo
         none = pose.groupBy("session_idx").agg(F.count("score").alias("n")).where("n = 0")
         if lost := [r.session_idx for r in none.orderBy("session_idx").limit(10).collect()]:
             raise ValueError(f"sessions without scores, which are required: {lost}")
-    # every table below starts from these two
-    clean = written(clean_tracks(pose, p))
-    frames = written(qc.frame_qc(clean, p))
-    animals = qc.animal_qc(frames, clean, pose if p.output.return_raw else None, p)
-    return Preprocessed(clean, frames, qc.node_qc(clean), animals, qc.missing_frames(pose))
+    return Preprocessed(written(clean_tracks(pose, p)), pose, p)
 
 
 def preprocess_one(raw: DataFrame, session_idx: int, overrides: dict | None = None) -> Preprocessed:
