@@ -52,6 +52,32 @@ def test_levels_in_sql(spark):
     assert level[next(b for b in range(1000) if b not in count)] == linededup._level(0)
 
 
+def test_common_words_come_last(spark, monkeypatch):
+    monkeypatch.setattr(linededup, "COMMON", 2)
+    # 'the' and 'of' are most frequent; a line of 10 words has a prefix of 3, and the one after it
+    words = [f"w{k}" for k in range(8)]
+    docs = spark.createDataFrame([(1, "\n".join(["the of " + " ".join(words), "the of", "of the x y"] + [f"the of u{k}" for k in range(20)]))], "doc_id long, text string")
+    often = set(spark.range(1).selectExpr(linededup.common(linededup.census(docs)) + " h").first().h)
+    h = dict(spark.createDataFrame([(w,) for w in ["the", "of", "x", "y", *words]], "w string").selectExpr("w", "xxhash64(w)").collect())
+    assert often == {h["the"], h["of"]}
+    got = {r.no: [v & (1 << 56) - 1 for v in r.prefix] for r in linededup.signatures(docs).where("no < 3").collect()}
+    low = {w: (v % (1 << 64)) >> 8 for w, v in h.items()}
+    assert len(got[0]) == 4 and set(got[0]) < {low[w] for w in words}
+    assert len(got[1]) == 2 and set(got[1]) == {low["the"], low["of"]}
+    assert got[2] == sorted([low["x"], low["y"]])
+
+
+@pytest.mark.parametrize("common", [0, 3, 40])
+def test_any_common_words_give_the_same_lines(spark, monkeypatch, common):
+    # 'a0' to 'a9' are in most lines: some lines hold nothing else, others differ in them alone
+    lines = [" ".join(f"a{(k * j) % 10}" for j in range(1 + k % 9)) + (f" r{k % 17} s{k % 5}" if k % 3 else "") for k in range(300)]
+    rows = [(k, "\n".join(lines[k * 10 : k * 10 + 10])) for k in range(30)]
+    sets = [((d, i), set(x.split())) for d, t in rows for i, x in enumerate(t.split("\n"))]
+    want = [p for k, (p, w) in enumerate(sets) if any(len(w & v) * 1.8 + 1e-9 >= 0.8 * (len(w) + len(v)) for _, v in sets[:k])]
+    monkeypatch.setattr(linededup, "COMMON", common)
+    assert gone(spark, rows) == want
+
+
 def test_texts_that_lose_many_lines(spark):
     lines = [f"line number {k} of a long text" if k % 2 else "always the same" for k in range(4000)]
     docs = spark.createDataFrame([(1, "\n".join(lines)), (2, "\n".join(lines[1::2][:1000])), (2, "always the same\nnew words in it")], "doc_id long, text string")

@@ -3,9 +3,10 @@
 A line is the set of its words (separated by space, tab, vertical tab, form feed, carriage return). A line goes if an earlier
 line, in order of (doc_id, line number), has a Jaccard similarity of 0.8 or more. Lines without words stay.
 
-Words are ordered by rarity (occurrences of their hash bucket in the whole corpus, in logarithmic steps, then hash). Two similar
+Words are ordered by rarity (occurrences of their hash bucket in the whole corpus, in logarithmic steps, then hash), after them a
+few common words, which a plain set difference takes out before the work on each word; any choice of them is right. Two similar
 lines share a word of their prefixes, so prefix words are the join key. Candidates must pass the length filter, the positional
-filter, and a bound on the symmetric difference from 96 parity bits. A left-semi self-join first finds the prefix rows that have
+filter, and a bound on the symmetric difference from 96 parity bits of the words that are not common. A left-semi self-join first finds the prefix rows that have
 any candidate; it stops at a row's first one, so groups of copies don't multiply. Only their lines are verified: first
 against the earliest line of each prefix word, and what is left against all. Two lines' words are compared by their 64-bit hashes;
 only a collision within the pair could mislead that. Exact copies are found by their 128-bit hash beforehand, and that pair of
@@ -25,6 +26,8 @@ from .common import read, settle
 THRESHOLD = 0.8
 #: Hash buckets whose occurrences give the rarity of words.
 BUCKETS = 1 << 17
+#: Words that come last in the order of rarity: their rarity is not looked up unless a line has few others.
+COMMON = 128
 #: Most bytes of a table that is sent to all executors; a larger one is joined by a shuffle.
 BROADCAST_BYTES = 32 << 20
 #: Rows of a prefix word from which lines are joined on two words, and the most such words.
@@ -63,32 +66,55 @@ def _level(count: int) -> int:
     return min(255, 8 * count.bit_length() + (count >> max(0, count.bit_length() - 4) & 7)) - 128
 
 
-def rarity(docs: DataFrame) -> str:
-    """SQL of an array: per hash bucket the level of its occurrences in the corpus."""
-    w = docs.select(F.explode(F.expr(_split("text", "\n"))).alias("w"))
-    counts = w.groupBy(F.xxhash64("w").bitwiseAND(BUCKETS - 1).alias("k")).agg(F.count("*").alias("c"))
-    every = docs.sparkSession.range(BUCKETS).select(F.col("id").alias("k"), F.lit(0).cast("long").alias("c"))
-    counts = counts.unionAll(every).groupBy("k").agg(F.sum("c").alias("c"))
+def census(docs: DataFrame) -> DataFrame:
+    """(k, c, h), a table: per hash bucket of words the occurrences in the corpus and the hash of one of its words."""
+    w = docs.select(F.explode(F.expr(_split("text", "\n"))).alias("w")).select(F.xxhash64("w").alias("h"))
+    counts = w.groupBy(F.col("h").bitwiseAND(BUCKETS - 1).alias("k")).agg(F.count("*").alias("c"), F.first("h").alias("h"))
+    every = docs.sparkSession.range(BUCKETS).select(F.col("id").alias("k"), F.lit(0).cast("long").alias("c"), F.lit(None).cast("long").alias("h"))
+    return settle(counts.unionAll(every).groupBy("k").agg(F.sum("c").alias("c"), F.first("h", ignorenulls=True).alias("h")))
+
+
+def levels(counts: DataFrame) -> str:
+    """SQL of an array: per hash bucket the level of its occurrences."""
     # _level in SQL; one text of BUCKETS numbers comes to the driver
     level = F.expr("least(255, 8 * length(bin(c)) * int(c > 0) + (shiftright(c, greatest(0, length(bin(c)) - 4)) & 7)) - 128").cast("int")
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", level.alias("l")))), lambda x: x["l"]), ",")
-    return f"cast(split('{counts.agg(text.alias('t')).first().t}', ',') as array<int>)"
+    return f"cast(split('{counts.agg(text.alias('t')).first().t}', ',') as array<bigint>)"
+
+
+def common(counts: DataFrame) -> str:
+    """SQL of an array: a word's hash from each of the COMMON fullest buckets, most often that of a word that fills it."""
+    top = counts.where("h is not null").orderBy(F.desc("c"), "k").limit(COMMON).collect()
+    return f"cast(array({', '.join(repr(str(r.h)) for r in top)}) as array<bigint>)"
+
+
+def rarity(docs: DataFrame) -> str:
+    """SQL of an array: per hash bucket the level of its occurrences in the corpus."""
+    return levels(census(docs))
 
 
 def signatures(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """A row for each line with words: doc_id, no, line hashes h1 and h2, words n, parity bits s1 and s2, prefix words and the one after them.
 
-    A prefix word is its rarity and 56 bits of its hash. A word's parity bit is one of 64 in s1 or of 32 in s2.
+    A prefix word is its rarity and 56 bits of its hash. Common words come after all others, so only a line that has too few others
+    takes any into its prefix. The parity bits are those of the other words; a word's bit is one of 64 in s1 or of 32 in s2.
     """
-    level = rarity(docs)
-    lines = lines_of(docs).where(F.col("line").rlike(r"[^ \t\x0B\f\r]"))
+    counts = census(docs)
+    level, often = levels(counts), common(counts)
+    lines = lines_of(docs).where(r"ltrim(' \t\u000B\f\r', line) <> ''")
     h = lines.select("doc_id", "no", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(7), "line").alias("h2"), F.expr(_hashes("line")).alias("w"))
-    s1 = "aggregate(w, 0L, (a, v) -> a ^ shiftleft(shiftrightunsigned(v, 63), cast(shiftright(v, 20) & 63 as int)))"
-    s2 = "aggregate(w, 0L, (a, v) -> a ^ shiftleft(shiftrightunsigned(~v, 63), cast(shiftright(v, 20) & 31 as int)))"
-    # never null, so that the array is sorted as plain numbers
-    packed = f"sort_array(transform(w, v -> shiftleft(cast(coalesce(get({level}, cast(v & {BUCKETS - 1} as int)), 0) as bigint), 56) | shiftrightunsigned(v, 8)))"
-    h = h.select("doc_id", "no", "h1", "h2", F.size("w").alias("n"), F.expr(s1).alias("s1"), F.expr(s2).alias("s2"), F.expr(packed).alias("w"))
-    return h.select("doc_id", "no", "h1", "h2", "n", "s1", "s2", F.slice("w", 1, _prefix(threshold) + 1).alias("prefix"))
+    h = h.select("*", F.expr(f"array_except(w, {often})").alias("r"))
+    s1 = "aggregate(r, 0L, (a, v) -> a ^ shiftleft(v & 1, cast(shiftrightunsigned(v, 58) as int)))"
+    s2 = "aggregate(r, 0L, (a, v) -> a ^ shiftleft(~v & 1, cast(shiftrightunsigned(v, 59) as int)))"
+
+    def packed(words: str) -> str:
+        # never null, so that the array is sorted as plain numbers
+        return f"sort_array(transform({words}, v -> shiftleft(coalesce(get({level}, cast(v & {BUCKETS - 1} as int)), 0L), 56) | shiftrightunsigned(v, 8)))"
+
+    h = h.select("doc_id", "no", "h1", "h2", F.size("w").alias("n"), F.expr(s1).alias("s1"), F.expr(s2).alias("s2"), F.expr(packed("r")).alias("p"), "w", "r")
+    most = _prefix(threshold) + 1
+    prefix = F.when(F.size("r") >= most, F.col("p")).otherwise(F.concat("p", F.expr(packed("array_except(w, r)"))))
+    return h.select("doc_id", "no", "h1", "h2", "n", "s1", "s2", F.slice(prefix, 1, most).alias("prefix"))
 
 
 def _prefix(threshold: float):
