@@ -95,3 +95,29 @@ def test_query_is_its_sql(spark, tmp_path):
     want = sorted(con.execute(f"select doc_id, n_lines, n_bytes, text_sha256 from ({linededup.ORACLE})").fetchall())
     got = sorted(tuple(r) for r in linededup.query(spark, "/root/testdata/sf0.001").select("doc_id", "n_lines", "n_bytes", "text_sha256").collect())
     assert got == want
+
+
+@pytest.mark.parametrize("cut", [-128, None, 127])
+def test_any_cut_gives_the_same_lines(spark, monkeypatch, cut):
+    # lines of 40 words, of which 'a0' to 'a11' are frequent; copies differ in 1 to 9 words, rare or frequent ones
+    def line(k):
+        words = [f"a{(k * j) % 12}" for j in range(12)] + [f"u{k // 3}_{j}" for j in range(40)]
+        return " ".join([f"x{k}_{j}" for j in range(k % 9)] + words[k % 9 if k % 2 else 0 :])
+
+    rows = [(d, "\n".join(line(k) for k in range(d * 12, d * 12 + 12))) for d in range(20)]
+    sets = [((d, i), set(x.split())) for d, t in rows for i, x in enumerate(t.split("\n"))]
+    want = [p for k, (p, w) in enumerate(sets) if any(len(w & v) * 1.8 + 1e-9 >= 0.8 * (len(w) + len(v)) for _, v in sets[:k])]
+    monkeypatch.setattr(linededup, "COMMON", 3)
+    if cut is not None:
+        monkeypatch.setattr(linededup, "_cut", lambda counts, often: cut)
+    assert 20 < len(want) < 220 and gone(spark, rows) == want
+
+
+def test_parity_is_one_bit_a_word(spark, monkeypatch):
+    # a word used to be in s1 or s2 by a bit of its hash; now rare words go to s1 and frequent ones to s2, each word once
+    monkeypatch.setattr(linededup, "COMMON", 1)
+    text = "\n".join(["the r1 r2 r3 f1", "the r1 r2 r3", "the f1 f2"] + ["the f1 f2 the the"] * 20 + ["the f2"])
+    got = {r.no: r for r in linededup.signatures(spark.createDataFrame([(1, text)], "doc_id long, text string")).where("no < 3").collect()}
+    ones = lambda v: bin(v & (1 << 64) - 1).count("1")
+    assert ones(got[0].s1 ^ got[1].s1) == 0 and ones(got[0].s2 ^ got[1].s2) == 1
+    assert got[2].s1 == 0 and got[1].s2 == 0 and ones(got[1].s1) in (1, 3) and 0 <= got[2].s2 < 1 << 32

@@ -4,10 +4,10 @@ A line is the set of its words (separated by space, tab, vertical tab, form feed
 line, in order of (doc_id, line number), has a Jaccard similarity of 0.8 or more. Lines without words stay.
 
 Words are ordered by rarity (occurrences of their hash bucket in the whole corpus, in logarithmic steps, then hash), after them a
-few common words, which a plain set difference takes out before the work on each word; any choice of them is right. Two similar
+few common words, which are taken out before the work on each word; any choice of them is right. Two similar
 lines share a word of their prefixes, so prefix words are the join key. Candidates must pass the length filter, the positional
-filter, and a bound on the symmetric difference from 96 parity bits of the words that are not common. A left-semi self-join first finds the prefix rows that have
-any candidate; it stops at a row's first one, so groups of copies don't multiply. Only their lines are verified: first
+filter, and a bound on the symmetric difference from 96 parity bits of the words that are not common: 64 of the rarer ones, 32 of the
+others. A left-semi self-join first finds the prefix rows that have any candidate; it stops at a row's first one, so groups of copies don't multiply. Only their lines are verified: first
 against the earliest line of each prefix word, and what is left against all. Two lines' words are compared by their 64-bit hashes;
 only a collision within the pair could mislead that. Exact copies are found by their 128-bit hash beforehand, and that pair of
 hashes is a line's identity from there on.
@@ -28,6 +28,8 @@ THRESHOLD = 0.8
 BUCKETS = 1 << 17
 #: Words that come last in the order of rarity: their rarity is not looked up unless a line has few others.
 COMMON = 128
+#: Share of the other words (occurrences) whose parity goes into the 64 bits of s1; that of the rest goes into the 32 bits of s2.
+RARER = 0.6
 #: Most bytes of a table that is sent to all executors; a larger one is joined by a shuffle.
 BROADCAST_BYTES = 32 << 20
 #: Rows of a prefix word from which lines are joined on two words, and the most such words.
@@ -74,18 +76,35 @@ def census(docs: DataFrame) -> DataFrame:
     return settle(counts.unionAll(every).groupBy("k").agg(F.sum("c").alias("c"), F.first("h", ignorenulls=True).alias("h")))
 
 
+#: _level(c) in SQL.
+_LEVEL = "cast(least(255, 8 * length(bin(c)) * int(c > 0) + (shiftright(c, greatest(0, length(bin(c)) - 4)) & 7)) - 128 as int)"
+
+
 def levels(counts: DataFrame) -> str:
     """SQL of an array: per hash bucket the level of its occurrences."""
-    # _level in SQL; one text of BUCKETS numbers comes to the driver
-    level = F.expr("least(255, 8 * length(bin(c)) * int(c > 0) + (shiftright(c, greatest(0, length(bin(c)) - 4)) & 7)) - 128").cast("int")
-    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", level.alias("l")))), lambda x: x["l"]), ",")
+    # one text of BUCKETS numbers comes to the driver
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", F.expr(_LEVEL).alias("l")))), lambda x: x["l"]), ",")
     return f"cast(split('{counts.agg(text.alias('t')).first().t}', ',') as array<bigint>)"
 
 
+def _often(counts: DataFrame) -> list[int]:
+    """A word's hash from each of the COMMON fullest buckets, most often that of a word that fills it."""
+    return [r.h for r in counts.where("h is not null").orderBy(F.desc("c"), "k").limit(COMMON).collect()]
+
+
+def _array(hashes: list[int]) -> str:
+    return f"cast(array({', '.join(repr(str(h)) for h in hashes)}) as array<bigint>)"
+
+
 def common(counts: DataFrame) -> str:
-    """SQL of an array: a word's hash from each of the COMMON fullest buckets, most often that of a word that fills it."""
-    top = counts.where("h is not null").orderBy(F.desc("c"), "k").limit(COMMON).collect()
-    return f"cast(array({', '.join(repr(str(r.h)) for r in top)}) as array<bigint>)"
+    """SQL of an array: the hashes of the common words."""
+    return _array(_often(counts))
+
+
+def _cut(counts: DataFrame, often: list[int]) -> int:
+    """The level from which a word's parity goes into s2; any level is right."""
+    others = counts.where(~F.col("k").isin([h & (BUCKETS - 1) for h in often]) if often else F.lit(True))
+    return int(others.agg(F.expr(f"percentile({_LEVEL}, {RARER!r}D, c)").alias("l")).first().l or 0)
 
 
 def rarity(docs: DataFrame) -> str:
@@ -97,24 +116,32 @@ def signatures(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """A row for each line with words: doc_id, no, line hashes h1 and h2, words n, parity bits s1 and s2, prefix words and the one after them.
 
     A prefix word is its rarity and 56 bits of its hash. Common words come after all others, so only a line that has too few others
-    takes any into its prefix. The parity bits are those of the other words; a word's bit is one of 64 in s1 or of 32 in s2.
+    takes any into its prefix. The parity bits are those of the other words; a word flips one bit of 64 in s1 if it is rarer than the
+    cut, else one of 32 in s2.
     """
     counts = census(docs)
-    level, often = levels(counts), common(counts)
+    level, often = levels(counts), _often(counts)
+    mark = _cut(counts, often) << 56
     lines = lines_of(docs).where(r"ltrim(' \t\u000B\f\r', line) <> ''")
     h = lines.select("doc_id", "no", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(7), "line").alias("h2"), F.expr(_hashes("line")).alias("w"))
-    h = h.select("*", F.expr(f"array_except(w, {often})").alias("r"))
-    s1 = "aggregate(r, 0L, (a, v) -> a ^ shiftleft(v & 1, cast(shiftrightunsigned(v, 58) as int)))"
-    s2 = "aggregate(r, 0L, (a, v) -> a ^ shiftleft(~v & 1, cast(shiftrightunsigned(v, 59) as int)))"
+    # literals are looked up in a set that is made once, where array_except makes one for each line
+    h = h.select("*", F.expr(f"filter(w, v -> v not in ({', '.join(f'{x}L' for x in often)}))" if often else "w").alias("r"))
 
     def packed(words: str) -> str:
         # never null, so that the array is sorted as plain numbers
         return f"sort_array(transform({words}, v -> shiftleft(coalesce(get({level}, cast(v & {BUCKETS - 1} as int)), 0L), 56) | shiftrightunsigned(v, 8)))"
 
-    h = h.select("doc_id", "no", "h1", "h2", F.size("w").alias("n"), F.expr(s1).alias("s1"), F.expr(s2).alias("s2"), F.expr(packed("r")).alias("p"), "w", "r")
+    def parity(words: str, bits: int) -> str:
+        return f"aggregate({words}, 0L, (a, v) -> a ^ shiftleft(1L, cast(v & {bits - 1}L as int)))"
+
+    h = h.select("doc_id", "no", "h1", "h2", F.size("w").alias("n"), F.expr(packed("r")).alias("p"), "w", "r")
+    # the place of the first word from the cut on
+    h = h.withColumn("q", F.expr(f"cast(array_position(sort_array(concat(p, array({mark}L))), {mark}L) as int)"))
+    s1, s2 = parity("slice(p, 1, q - 1)", 64), parity("slice(p, q, size(p))", 32)
     most = _prefix(threshold) + 1
-    prefix = F.when(F.size("r") >= most, F.col("p")).otherwise(F.concat("p", F.expr(packed("array_except(w, r)"))))
-    return h.select("doc_id", "no", "h1", "h2", "n", "s1", "s2", F.slice(prefix, 1, most).alias("prefix"))
+    few = packed(f"array_intersect(w, {_array(often)})")
+    prefix = F.when(F.size("r") >= most, F.col("p")).otherwise(F.concat("p", F.expr(few)))
+    return h.select("doc_id", "no", "h1", "h2", "n", F.expr(s1).alias("s1"), F.expr(s2).alias("s2"), F.slice(prefix, 1, most).alias("prefix"))
 
 
 def _prefix(threshold: float):
